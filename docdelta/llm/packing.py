@@ -178,7 +178,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
 
     def add(batch: pa.RecordBatch, df: np.ndarray) -> None:
         for x in batch.column(0):
-            df[np.unique(np.frombuffer(x.as_py(), dtype))] += 1
+            df[np.frombuffer(x.as_py(), dtype)] += 1  # an id that repeats counts once
 
     df = summed(tokens.select("ids"), add, size)
     idf = spark.sparkContext.broadcast(np.log(1 + (total["docs"] - df + 0.5) / (df + 0.5)))

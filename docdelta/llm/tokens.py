@@ -1,17 +1,26 @@
-"""Token ids of whole texts with a public tokenizer, through a cache of words.
+"""Token ids of whole texts with a public tokenizer, through caches of words.
 
 The vocabulary drops white space and never joins characters across it, so the
 ids of a text are those of its words (runs without ASCII white space) in turn.
-Words not met before are encoded together, in one call, between two special
-tokens that mark where each ends.
+A new word of Latin characters is cut into the pieces that the tokenizer's own
+pattern gives, whose ids are again kept; any other word goes through the whole
+tokenizer. Both caches forget what has not been met for long.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import regex
 
 END = 2
 
+# Fixed value: the pattern by which this vocabulary cuts text into pieces.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters that lower-case and cut alike in all Unicode versions, and are in normal form.
+PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -19,47 +28,78 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Cache:
+    """A dict that keeps between ``most`` and twice as many of the entries met last."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def take(self, keys, make) -> dict:
+        """The entries of all ``keys``; ``make`` gives those of a list of unknown keys."""
+        found = {}
+        missing = []
+        new, old = self.new, self.old
+        for k in keys:
+            v = new.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                new[k] = v
+            found[k] = v
+        if missing:
+            made = make(missing)
+            found.update(made)
+            new.update(made)
+        if len(new) > self.most:
+            self.old, self.new = new, {}
+        return found
+
+
 class WordEncoder:
     """ids of texts as packed unsigned integers (two bytes each where the vocabulary allows)."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most = most
-        self.known: dict[bytes, bytes] = {}
-        self.mark_text = "<|startoftext|>"
-        self.mark = self.tokenizer.token_to_id(self.mark_text)
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if b"<|" not in w]
-        found = {w: self._one(w.decode()) for w in words if b"<|" in w}
-        if self.mark is None:
-            return found | {w: self._one(w.decode()) for w in plain}
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(self.mark_text.join(w.decode() for w in part), add_special_tokens=False).ids, np.int64)
-            ends = np.r_[np.flatnonzero(ids == self.mark), len(ids)]
-            packed, size, start = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                found[w] = packed[start * size : end * size]
-                start = end + 1
+        self.words, self.pieces = Cache(most), Cache(most)
+        self.letters = byte_letters()
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        size, cut = self.dtype.itemsize, self.model.tokenize
+        return {p: b"".join([t.id.to_bytes(size, "little") for t in cut(p.encode().decode("latin-1").translate(self.letters))]) for p in pieces}
+
+    def _new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        cut, found = {}, {}
+        for w in words:
+            text = w.decode()
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                cut[w] = PIECE.findall(text.lower())
+            else:
+                found[w] = self._whole(w)
+        ids = self.pieces.take(set().union(*cut.values()), self._new_pieces)
+        for w, pieces in cut.items():
+            found[w] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each UTF-8 text."""
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = set().union(*split)
-            self.known.update(self._learn(list(new)))
-        get = self.known.__getitem__
+        get = self.words.take(set().union(*split), self._new_words).__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -73,7 +113,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def in_blocks(texts, most: int = 1 << 21):
+def in_blocks(texts, most: int = 1 << 22):
     """Lists of texts of about ``most`` bytes together (at least one text each)."""
     block, held = [], 0
     for t in texts:
