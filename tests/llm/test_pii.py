@@ -1,0 +1,76 @@
+import re
+
+import pytest
+from docdelta.llm import pii
+from pyspark.sql import functions as F
+
+TEXTS = {
+    1: "Mail jo.19@mail5.example.com or JO.19@MAIL5.EXAMPLE.COM, not jo.20@mail5.example.com!",
+    2: "Call +1 (743) 555-3824 or +1 743 555 3824; card 4785380592391139### and 4111 1111 1111 1111.",
+    3: 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"%%% TOKEN = "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"',
+    4: "97.51.17.173, then 97.51.17.173. Version 3. Rev 4.0. AN5342 page 5/20",
+    5: "Mr. John Smith met Mrs. Anna Smith and Mr. Smith. Frau Müller. Госпожа Анна Петрова.",
+    6: "clean text with 16 11 10 16 24 40 51 61 numbers, 3.14 and 2024-11-26.",
+    7: None,
+    8: "",
+    9: "étion.27@mail1.example.com 123-45-6789 DE89 3704 0044 0532 0130 00",
+}
+
+
+@pytest.fixture(scope="module")
+def out(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in TEXTS.items()], "doc_id long, text string, kind string")
+    return {r.doc_id: r for r in pii.pseudonymize(df).collect()}
+
+
+def test_formats_and_coreference(out):
+    a, b, c = re.findall(r"\S+@[\w.]+\w", out[1].text)
+    assert b == a.upper() and c != a and re.fullmatch(r"[a-z]{2}\.\d\d@d[0-9a-f]{8}\.example\.com", a) and a.split("@")[1] == c.split("@")[1]
+    assert out[1].n_entities == 3 and out[1].text.endswith("!") and "mail5" not in out[1].text
+    m = re.fullmatch(r"Call \+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1 (\d{3}) (\d{3}) (\d{4}); card (\d{16})### and ((?:\d{4} ){3}\d{4})\.", out[2].text)
+    assert m and m.groups()[:3] == m.groups()[3:6] and m[1] + m[2] + m[3] != "7435553824"
+
+    def luhn(x):
+        return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(re.sub(r"\D", "", x)))) % 10 == 0
+
+    assert luhn(m[7]) and luhn("4785380592391139") and luhn(m[8]) and m[8] != "4111 1111 1111 1111"
+    low, up = re.findall(r'"([0-9A-Fa-f]{40})"', out[3].text)
+    assert low.upper() == up and low != "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", out[4].text)
+    assert len(ips) == 2 and len(set(ips)) == 1 and ips[0] != "97.51.17.173" and out[4].text.endswith("Rev 4.0. AN5342 page 5/20")
+    assert re.search(r"\d{3}-\d{2}-\d{4} DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d$", out[9].text) and "étion" not in out[9].text and "123-45-6789" not in out[9].text
+
+
+def test_names(out):
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+) and Mr\. (\w+)\. Frau (\w+)\. Госпожа (\w+) (\w+)\.", out[5].text)
+    assert m and m[2] == m[4] == m[5] != "Smith" and m[1] in pii.GIVEN["Latin"]["m"].split() and m[3] in pii.GIVEN["Latin"]["f"].split()
+    assert re.fullmatch("[А-Яа-я]+", m[7] + m[8]) and m[8] != "Петрова"
+
+
+def test_clean_texts_stay(out):
+    for i in (6, 7, 8):
+        assert out[i].text == TEXTS[i] and out[i].n_entities == 0
+    assert len(out) == len(TEXTS) and out[6].kind == "x"
+
+
+def test_distinct_entities_keep_distinct_surrogates(spark):
+    """The space of one-letter-two-digit locals is small, so first draws must collide."""
+    rows = [(i, f"{c}{d:02d}@x.org") for i, (c, d) in enumerate((c, d) for c in "abcdefgh" for d in range(100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    drawn = df.select(pii.surrogate(F.lit("email"), F.col("text"), F.lit(0), "docdelta").alias("s"))
+    assert drawn.distinct().count() < len(rows)
+    got = pii.pseudonymize(df).collect()
+    assert len({r.text for r in got}) == len(rows) and not {r.text for r in got} & {t for _, t in rows}
+    assert all(re.fullmatch(r"[a-z]\d\d\w*@d[0-9a-f]{8}\.example\.org", r.text) for r in got)
+
+
+def test_edges(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.pseudonymize(empty).count() == 0
+    long = "word " * 100_000 + "a.1@b.co" + " word" * 100_000
+    rows = spark.createDataFrame([(1, long), (1, long), (None, "9.8.7.6")], "doc_id long, text string")
+    got = pii.pseudonymize(rows).collect()
+    assert len(got) == 3 and all(len(r.text) > 1_000_000 and "a.1@b.co" not in r.text for r in got if r.doc_id == 1)
+    assert len({r.text for r in got}) == 2
+    keyed = {pii.pseudonymize(rows, secret=s).where("doc_id is null").first().text for s in ("k1", "k2", "k1")}
+    assert len(keyed) == 2
