@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, licenses, mixing, pii, sketches
+from . import hmm, licenses, mixing, pii, repeats, sketches
 from .common import table
 from .langid import language_id
 from .packing import pack
@@ -19,6 +19,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -53,7 +57,7 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_simhash_dedup, op3_exact_top_k, op4_hmm_scoring, op5_language_id, op6_mixing,
+        op1_simhash_dedup, op2_repeat_removal, op3_exact_top_k, op4_hmm_scoring, op5_language_id, op6_mixing,
         op7_license_scan, op8_pii_surrogates, op9_fingerprints, op10_retrieval_packing,
     )
     return {f.__name__: f for f in found}
