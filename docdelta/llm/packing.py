@@ -38,7 +38,7 @@ def token_table(docs: DataFrame, path: str) -> DataFrame:
         end = np.array([END], encode.dtype).tobytes()
         for batch in batches:
             done = 0
-            for block in in_blocks(text_bytes(batch.column(1))):
+            for block in in_blocks(text_bytes(batch.column(1)), 1 << 24):
                 ids = [x + end for x in encode.encode(block)]
                 n = [len(x) // encode.dtype.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays(

@@ -1,10 +1,10 @@
-"""Token ids of whole texts with a public tokenizer, through caches of words.
+"""Token ids of whole texts with a public tokenizer, through a cache of pieces.
 
 The vocabulary drops white space and never joins characters across it, so the
 ids of a text are those of its words (runs without ASCII white space) in turn.
-A new word of Latin characters is cut into the pieces that the tokenizer's own
-pattern gives, whose ids are again kept; any other word goes through the whole
-tokenizer. Both caches forget what has not been met for long.
+The distinct words of a block of texts are cut into the pieces that the
+tokenizer's own pattern gives, whose ids are kept for later blocks. A word with
+unusual characters is a piece of its own, which the whole tokenizer encodes.
 """
 
 from __future__ import annotations
@@ -12,14 +12,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END = 2
 
-# Fixed value: the pattern by which this vocabulary cuts text into pieces.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters that lower-case and cut alike in all Unicode versions, and are in normal form.
-PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
+#: Characters that lower-case and cut alike in all Unicode versions and are in normal form; no numerals but digits.
+PLAIN = "!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f"
+#: Words with any other character, or with the brackets of special tokens, among words a line.
+ODD = re.compile(f"^.*(?:[^{PLAIN}\n]|<\\|).*$", re.MULTILINE)
+# Fixed value: the pattern by which this vocabulary cuts text into pieces, for plain words a line.
+PIECE = re.compile(r"\n|\x00[^\n]*|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 def default_path() -> str:
@@ -67,40 +70,58 @@ class Cache:
 class WordEncoder:
     """ids of texts as packed unsigned integers (two bytes each where the vocabulary allows)."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words, self.pieces = Cache(most), Cache(most)
+        self.pieces = Cache(most)
         self.letters = byte_letters()
 
-    def _whole(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-
     def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         size, cut = self.dtype.itemsize, self.model.tokenize
-        return {p: b"".join([t.id.to_bytes(size, "little") for t in cut(p.encode().decode("latin-1").translate(self.letters))]) for p in pieces}
-
-    def _new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        cut, found = {}, {}
-        for w in words:
-            text = w.decode()
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                cut[w] = PIECE.findall(text.lower())
+        found = {}
+        for p in pieces:
+            if p == "\n":
+                found[p] = b""
+            elif p[0] == "\0":
+                found[p] = np.array(self.tokenizer.encode(p[1:], add_special_tokens=False).ids, self.dtype).tobytes()
             else:
-                found[w] = self._whole(w)
-        ids = self.pieces.take(set().union(*cut.values()), self._new_pieces)
-        for w, pieces in cut.items():
-            found[w] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
+                found[p] = b"".join([t.id.to_bytes(size, "little") for t in cut(p.encode().decode("latin-1").translate(self.letters))])
         return found
 
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Packed ids of distinct words, as an array of the same length."""
+        text = "\n".join(words.to_pylist())
+        lines = text.lower()
+        if odd := set(ODD.findall(text)):
+            lines = lines.split("\n")
+            for i, w in enumerate(text.split("\n")):
+                if w in odd:
+                    lines[i] = "\0" + w
+            lines = "\n".join(lines)
+        pieces = pc.dictionary_encode(pa.array(PIECE.findall(lines + "\n"), pa.large_string()))
+        distinct = pieces.dictionary.to_pylist()
+        ids = self.pieces.take(distinct, self._new_pieces)
+        gathered = pa.array([ids[p] for p in distinct], pa.large_binary()).take(pieces.indices)
+        ends = np.flatnonzero(pieces.indices.to_numpy() == distinct.index("\n"))
+        at = np.r_[0, np.frombuffer(gathered.buffers()[1], np.int64, len(gathered) + 1, 8 * gathered.offset)[ends]]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at.astype(np.int64).tobytes()), gathered.buffers()[2]])
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of each UTF-8 text."""
-        split = [t.split() for t in texts]
-        get = self.words.take(set().union(*split), self._new_words).__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        """Packed ids of each UTF-8 text.
+
+        Arrow splits and numbers the words and gathers their ids; Python sees each distinct piece once.
+        """
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        coded = pc.dictionary_encode(split.flatten())
+        if not len(coded):
+            return [b""] * len(texts)
+        gathered = self._words(coded.dictionary).take(coded.indices)
+        packed = memoryview(gathered.buffers()[2])
+        at = np.frombuffer(gathered.buffers()[1], np.int64, len(gathered) + 1, 8 * gathered.offset)[split.offsets.to_numpy()]
+        return [bytes(packed[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -113,7 +134,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def in_blocks(texts, most: int = 1 << 22):
+def in_blocks(texts, most: int = 1 << 23):
     """Lists of texts of about ``most`` bytes together (at least one text each)."""
     block, held = [], 0
     for t in texts:
