@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, text_bytes
 
@@ -218,9 +219,26 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     )
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents as often as their ``copies`` say, with the columns of ``docs``."""
-    rows = mix(docs, labels, targets).select("rid", "copies").where("copies > 0")
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    out = numbered.join(rows, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000, seed: int = 17) -> DataFrame:
+    """The documents as often as their ``copies`` say, with the columns of ``docs``.
+
+    The posteriors are written beside the rows, so texts are classified once and not joined.
+    """
+    wanted = np.array([(targets or TARGETS).get(d, 0.0) for d in DOMAINS])
+    names = docs.columns
+    place = names.index("text")
+    handle = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t) for t in text_bytes(batch.column(place))]
+            p = [handle.value.posteriors(f[0], f[1]).tolist() for f in found]
+            extra = [pa.array([f[2] for f in found], pa.int64()), pa.array(p, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *extra], [*names, "_n_tokens", "_p"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_n_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))])
+    rows = materialize(docs.mapInArrow(work, schema), "posteriors")
+    steps = fit_rates(rows.select(F.col("_n_tokens").alias("n_tokens"), F.col("_p").alias("p")), wanted / wanted.sum())
+    uniform = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor(rate(F.col("_p"), steps) + uniform).cast("int")
+    return rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*names)

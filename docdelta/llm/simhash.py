@@ -134,12 +134,16 @@ def simhash_components(docs: DataFrame, distance: int = 2, width: int = 3) -> Da
 def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     """The documents that remain when one of each near-duplicate group stays.
 
-    The row with doc_id = component_id stays; of rows repeated under that
-    doc_id one stays (the least text). Rows with a null doc_id stay.
+    The row of the least doc_id (and then the least hash of its text) stays;
+    repeated rows count as near duplicates of each other. Rows with a null
+    doc_id stay. Only (doc_id, hash) pairs are grouped; texts are read once
+    for the fingerprints and once for the result.
     """
-    chosen = simhash_components(docs.where("doc_id is not null"), distance).select("component_id").distinct()
-    kept = docs.join(chosen, docs.doc_id == chosen.component_id, "left_semi")
-    once = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    single = kept.join(once, "doc_id", "left_anti")
-    repeated = kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated.select(*single.columns)).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    known = keyed.where("doc_id is not null")
+    ids = known.select("doc_id", "_h").groupBy("doc_id").agg(F.min("_h").alias("_h"), F.count("*").alias("n"))
+    chosen = materialize(simhash_components(known, distance).select(F.col("component_id").alias("doc_id")).distinct().join(ids, "doc_id"), "chosen")
+    kept = keyed.join(chosen.select("doc_id", "_h"), ["doc_id", "_h"], "left_semi")
+    if not chosen.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_h"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

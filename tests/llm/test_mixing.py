@@ -61,7 +61,11 @@ def test_mix_and_classifier(spark):
     assert np.mean(right) > 0.9
     out = M.apply_mix(docs, marks, targets)
     assert out.columns == docs.columns
-    assert out.count() == sum(x.copies for x in got)
+    copies = {}
+    for x in got:
+        copies[x.doc_id] = copies.get(x.doc_id, 0) + x.copies
+    counted = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert counted == {i: n for i, n in copies.items() if n}
 
 
 def test_edges(spark):
