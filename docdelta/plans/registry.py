@@ -1,19 +1,543 @@
-"""Named queries over the test tables, with equivalent SQL."""
+"""Named queries over the test tables, with equivalent SQL where there is any."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from docdelta.functions import text as T
+from docdelta.operators import diff, layout, locate, match, report, sections
+from docdelta.plans import fixtures as X
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- text ----------------------------------------------------------------------------
+DOCS = "(SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, len(n) AS n_lines, md5(array_to_string(n, chr(10))) AS digest FROM (SELECT doc_id, {X.sql_clean_lines('text')} AS n FROM {DOCS})")
+def normalize_lines(spark, sf_dir):
+    lines = T.clean_lines(F.col("text"))
+    return X.documents(spark, sf_dir).select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc_id, sha256({X.sql_key('text')}) AS hash FROM {DOCS}")
+def canonical_hash(spark, sf_dir):
+    return X.documents(spark, sf_dir).select("doc_id", T.stable_hash(T.canonical_key(F.col("text"))).alias("hash"))
+
+
+NOISE = ["Introduction ........ 5", "16 11 10 16 24 40 51 61", "AN5342 - Rev 8 page 5/20", "2)", "•"]
+
+
+@query(
+    f"SELECT doc_id, len(k) AS n_kept, md5(array_to_string(k, chr(10))) AS digest FROM (SELECT doc_id, {X.sql_kept_lines('text')} AS k FROM "
+    f"(SELECT doc_id, text || chr(10) || list_extract([{', '.join(map(X.q, NOISE))}], (doc_id % 5 + 1)::INT) AS text FROM {DOCS}))"
+)
+def noise_line_filter(spark, sf_dir):
+    noise = F.element_at(F.array(*map(F.lit, NOISE)), (F.col("doc_id") % 5 + 1).cast("int"))
+    kept = T.kept_lines(F.concat_ws("\n", "text", noise))
+    return X.documents(spark, sf_dir).select("doc_id", F.size(kept).cast("long").alias("n_kept"), F.md5(F.array_join(kept, "\n").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc_id, len({X.sql_tokens('text')}) AS n_tokens FROM {DOCS}")
+def tokenize_count(spark, sf_dir):
+    return X.documents(spark, sf_dir).select("doc_id", F.size(T.tokenize(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({X.sql_tokens('text')}) AS token FROM {DOCS}) GROUP BY token")
+def tokenize_explode(spark, sf_dir):
+    return X.documents(spark, sf_dir).select(F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, md5({X.sql_join(X.sql_tokens('text'))}) AS digest FROM {DOCS}")
+def detokenize_roundtrip(spark, sf_dir):
+    return X.documents(spark, sf_dir).select("doc_id", F.md5(T.join_tokens(T.tokenize(F.col("text"))).cast("binary")).alias("digest"))
+
+
+SLUG = "lower(regexp_replace(regexp_replace({0}, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'))"
+
+
+@query(
+    f"SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY p_partkey) > 1 THEN base || '_' || p_partkey ELSE base END AS section_id, parent_id FROM ("
+    f"SELECT p_partkey, 'sec_' || coalesce(nullif({SLUG.format('p_name')}, ''), p_partkey::VARCHAR) AS base, "
+    "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'sec_' || (p_partkey % 9) END AS parent_id FROM part)"
+)
+def slug_section_ids(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey")
+    base = F.concat(F.lit("sec_"), T.slugify(F.col("p_name"), key.cast("string")))
+    number = F.when(key % 3 == 0, (key % 9).cast("string")).otherwise(F.concat_ws(".", (key % 9).cast("string"), key.cast("string")))
+    rows = part.select("p_partkey", base.alias("base"), T.parent_id(number).alias("parent_id"))
+    again = F.row_number().over(Window.partitionBy("base").orderBy("p_partkey")) > 1
+    return rows.select("p_partkey", F.when(again, F.concat_ws("_", "base", key.cast("string"))).otherwise(F.col("base")).alias("section_id"), "parent_id")
+
+
+TITLES = ["Contents", "Table of contents", "List of tables", "List of figures", "Revision history", "Introduction", "Appendix A", "AN5342", "Legal notice", "Trademarks", "2 ECC overview", "an5342"]
+TITLE_ROWS = f"SELECT p_partkey, list_extract([{', '.join(map(X.q, TITLES))}], (p_partkey % {len(TITLES)} + 1)::INT) || CASE WHEN p_partkey % 5 = 0 THEN ' ' || p_name ELSE '' END AS title FROM part"
+
+
+def _titles(spark, sf_dir):
+    part, key = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    head = F.element_at(F.array(*map(F.lit, TITLES)), (key % len(TITLES) + 1).cast("int"))
+    return part.select("p_partkey", F.concat(head, F.when(key % 5 == 0, F.concat(F.lit(" "), "p_name")).otherwise("")).alias("title"))
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN regexp_matches(trim(title), '^[A-Z]{{1,4}}\\d{{3,}}$') THEN 'front_matter' WHEN lower(trim(title)) = 'contents' OR contains(lower(title), 'table of contents') THEN 'toc'
+    WHEN lower(title) LIKE 'list of tables%' THEN 'list_of_tables' WHEN lower(title) LIKE 'list of figures%' THEN 'list_of_figures' WHEN contains(lower(title), 'revision history') THEN 'revision_history'
+    WHEN contains(lower(title), 'legal') OR contains(lower(title), 'trademark') THEN 'legal_notice' WHEN lower(title) LIKE 'introduction%' THEN 'introduction' WHEN lower(title) LIKE 'appendix%' THEN 'appendix' ELSE 'main_content' END AS section_type,
+    CASE WHEN lower(title) = 'contents' OR contains(lower(title), 'table of contents') THEN 'toc' WHEN contains(lower(title), 'revision history') THEN 'revision_history'
+    WHEN contains(lower(title), 'legal') OR contains(lower(title), 'notice') THEN 'legal_notice' WHEN contains(lower(title), 'appendix') THEN 'appendix' ELSE 'main_content' END AS plain_type FROM ({TITLE_ROWS})"""
+)
+def classify_titles(spark, sf_dir):
+    return _titles(spark, sf_dir).select("p_partkey", T.classify_section_type(F.col("title")).alias("section_type"), T.plain_section_type(F.col("title")).alias("plain_type"))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN regexp_matches(t, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$') THEN regexp_extract(t, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$', 1) ELSE '' END AS number, "
+    "CASE WHEN regexp_matches(t, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$') THEN trim(regexp_extract(t, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$', 2)) ELSE t END AS title "
+    "FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey || '.' || p_size || ' ' || p_name WHEN 1 THEN p_name ELSE p_size || ' ' || p_name END AS t FROM part)"
+)
+def split_numbered_titles(spark, sf_dir):
+    part, key = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    title = F.when(key % 3 == 0, F.concat(key.cast("string"), F.lit("."), size, F.lit(" "), "p_name")).when(key % 3 == 1, F.col("p_name")).otherwise(F.concat(size, F.lit(" "), "p_name"))
+    return part.select("p_partkey", T.split_number(title).alias("s")).select("p_partkey", "s.number", "s.title")
+
+
+# -- layout --------------------------------------------------------------------------
+IN_BANDS = "y1 > 0.105 * 800 AND y0 < 0.955 * 800"
+CAPTION = X.q(layout.CAPTION)
+STRIPPED = X.sql_strip("text")
+CANDIDATES = f"""
+candidates AS (
+  SELECT doc_id, page_index, block_no, line_no, t AS text, size, len({X.sql_words('t')}) AS words
+  FROM (SELECT *, {STRIPPED} AS t FROM lines WHERE {IN_BANDS} AND NOT (doc_id % 4 = 0 AND (y0 + y1) / 2 BETWEEN 297 AND 423))
+  WHERE t <> '' AND NOT regexp_matches(t, {CAPTION}) AND (size = 0 OR size >= 7.5)
+),
+sizes AS (SELECT doc_id, size, sum(words) AS w, min(line_no) AS first FROM candidates WHERE words >= 5 AND size <> 0 GROUP BY doc_id, size),
+body AS (SELECT doc_id, size AS body_size FROM sizes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, first) = 1),
+prose AS (
+  SELECT c.*, coalesce(body_size, 0.0) AS body_size FROM candidates c LEFT JOIN body USING (doc_id)
+  WHERE NOT (coalesce(body_size, 0) <> 0 AND size <> 0 AND size < coalesce(body_size, 0) - 0.4 AND words <= 6)
+),
+blocks AS (SELECT doc_id, page_index, block_no, string_agg(text, ' ' ORDER BY line_no) AS text, max(size) AS max_size, min(line_no) AS line_no FROM prose GROUP BY ALL)"""
+
+
+def _by_doc(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("pair_id", "doc_id")
+
+
+@query(f"WITH {X.LAYOUT_SQL} SELECT doc_id, line_no FROM lines WHERE {IN_BANDS}")
+def band_filter(spark, sf_dir):
+    return _by_doc(layout.in_bands(X.layout_lines(spark, sf_dir))).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+
+
+@query(f"WITH {X.LAYOUT_SQL} SELECT doc_id, count(*) AS n_lines FROM lines WHERE NOT regexp_matches(text, {CAPTION}) GROUP BY doc_id")
+def caption_filter(spark, sf_dir):
+    return _by_doc(layout.without_captions(X.layout_lines(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+@query(f"WITH {X.LAYOUT_SQL} SELECT doc_id, count(*) AS n_lines FROM lines WHERE text <> '' AND size >= 7.5 GROUP BY doc_id")
+def tiny_font_filter(spark, sf_dir):
+    return _by_doc(layout.without_tiny(X.layout_lines(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+@query(f"WITH {X.LAYOUT_SQL} SELECT doc_id, line_no FROM lines WHERE NOT (doc_id % 4 = 0 AND (y0 + y1) / 2 BETWEEN 297 AND 423)")
+def region_antijoin(spark, sf_dir):
+    return _by_doc(layout.outside_regions(X.layout_lines(spark, sf_dir), X.layout_regions(spark, sf_dir))).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+
+
+def _candidates(spark, sf_dir):
+    return layout.candidate_lines(X.layout_lines(spark, sf_dir), X.layout_regions(spark, sf_dir))
+
+
+def _blocks(spark, sf_dir):
+    rows = _candidates(spark, sf_dir)
+    return layout.assemble_blocks(layout.without_orphans(rows, layout.dominant_body_size(rows)))
+
+
+@query(f"WITH {X.LAYOUT_SQL}, {CANDIDATES} SELECT * FROM body")
+def dominant_body_size(spark, sf_dir):
+    return _by_doc(layout.dominant_body_size(_candidates(spark, sf_dir))).drop("side")
+
+
+@query(f"WITH {X.LAYOUT_SQL}, {CANDIDATES} SELECT doc_id, count(*) AS n_lines, sum(words)::BIGINT AS n_words FROM prose GROUP BY doc_id")
+def orphan_filter(spark, sf_dir):
+    rows = _candidates(spark, sf_dir)
+    kept = layout.without_orphans(rows, layout.dominant_body_size(rows))
+    return _by_doc(kept).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("words").alias("n_words"))
+
+
+@query(f"WITH {X.LAYOUT_SQL}, {CANDIDATES} SELECT doc_id, page_index, block_no, md5(text) AS digest, max_size FROM blocks")
+def assemble_blocks(spark, sf_dir):
+    rows = _by_doc(_blocks(spark, sf_dir))
+    return rows.select("doc_id", F.col("page_index").cast("long").alias("page_index"), F.col("block_no").cast("long").alias("block_no"), F.md5(F.col("text").cast("binary")).alias("digest"), "max_size")
+
+
+@query(
+    f"""WITH {X.LAYOUT_SQL}, {CANDIDATES}, pages AS (SELECT DISTINCT doc_id, page_index FROM lines),
+    joined AS (SELECT p.doc_id, p.page_index, coalesce(string_agg(text, chr(10) ORDER BY block_no), '') AS prose FROM pages p LEFT JOIN blocks b ON p.doc_id = b.doc_id AND p.page_index = b.page_index GROUP BY ALL)
+    SELECT doc_id, page_index, (page_index + 1)::VARCHAR AS displayed_page_number, coalesce(n[1], '') AS header_candidate, CASE WHEN len(n) > 1 THEN n[-1] ELSE '' END AS footer_candidate, CASE WHEN len(n) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS extraction_confidence
+    FROM (SELECT *, {X.sql_clean_lines('prose')} AS n FROM joined)"""
+)
+def assemble_pages(spark, sf_dir):
+    pages = X.layout_lines(spark, sf_dir).select("pair_id", "side", "page_index").distinct()
+    rows = _by_doc(layout.assemble_pages(pages, _blocks(spark, sf_dir)))
+    return rows.select("doc_id", F.col("page_index").cast("long").alias("page_index"), "displayed_page_number", "header_candidate", "footer_candidate", "extraction_confidence")
+
+
+@query(
+    "WITH chars AS (SELECT conv_id, turn, i, substr(text, i, 1) AS c, i * 5.0 + CASE WHEN i % 7 = 0 THEN 3.0 ELSE 0 END AS x0, i * 5.0 + 5 AS x1 FROM (SELECT conv_id, turn, text, unnest(generate_series(1, least(length(text), 60))) AS i FROM conversations WHERE text IS NOT NULL)), "
+    f"l AS (SELECT *, lag(c) OVER w AS pc, lag(x1) OVER w AS px FROM chars WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)) SELECT conv_id, turn, string_agg(CASE WHEN px IS NOT NULL AND x0 - px > 2 AND NOT regexp_matches(c, {X.q(X.WS)}) AND NOT regexp_matches(pc, {X.q(X.WS)}) THEN ' ' || c ELSE c END, '' ORDER BY i) AS text FROM l GROUP BY conv_id, turn"
+)
+def space_gap_repair(spark, sf_dir):
+    """Characters five points apart, every seventh shifted by three, in a size where two points are a gap."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null AND length(text) > 0")
+    i = F.col("char_no")
+    chars = rows.select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(60)))).alias("char_no"))
+    chars = chars.select("conv_id", "turn", "char_no", F.substring("text", i, F.lit(1)).alias("c"), (i * 5.0 + F.when(i % 7 == 0, 3.0).otherwise(0.0)).alias("x0"), (i * 5.0 + 5).alias("x1"), F.lit(10.0).alias("size"))
+    return layout.reconstruct_lines(chars, ["conv_id", "turn"])
+
+
+# -- sections ------------------------------------------------------------------------
+@query(
+    f"""WITH {X.LAYOUT_SQL}, headed AS (SELECT *, max(CASE WHEN line_no % 11 = 0 AND line_no > 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS head FROM lines)
+    SELECT doc_id, head, count(*) AS n_lines, min(page_index) + 1 AS page_start, max(page_index) + 1 AS page_end FROM headed WHERE head IS NOT NULL GROUP BY doc_id, head"""
+)
+def heading_interval_sections(spark, sf_dir):
+    """Lines belong to the last heading before them; those before the first to none."""
+    lines = _by_doc(X.layout_lines(spark, sf_dir))
+    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.when((F.col("line_no") % 11 == 0) & (F.col("line_no") > 0), F.col("line_no").cast("long"))
+    rows = lines.withColumn("head", F.last(heading, True).over(order)).where("head is not null")
+    page = F.col("page_index").cast("long") + 1
+    return rows.groupBy("doc_id", "head").agg(F.count("*").alias("n_lines"), F.min(page).alias("page_start"), F.max(page).alias("page_end"))
+
+
+@query(
+    f"""WITH {X.LAYOUT_SQL}, keyed AS (SELECT doc_id, line_no, {X.sql_key('text')} AS key FROM lines), heads AS (SELECT DISTINCT doc_id, key FROM keyed WHERE line_no % 11 = 0 AND length(key) >= 6)
+    SELECT doc_id, count(*) AS n_lines FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = k.doc_id AND h.key = k.key) GROUP BY doc_id"""
+)
+def heading_echo_antijoin(spark, sf_dir):
+    lines = X.layout_lines(spark, sf_dir)
+    heads = sections.echo_keys(lines.where("line_no % 11 = 0").select("pair_id", "side", F.lit("").alias("number"), F.col("text").alias("title")))
+    kept = lines.withColumn("key", T.canonical_key(F.col("text"))).join(heads, ["pair_id", "side", "key"], "left_anti")
+    return _by_doc(kept).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+def _pages(spark, sf_dir):
+    pages = X.layout_lines(spark, sf_dir).groupBy("pair_id", "side", "page_index").agg(layout.ordered_text(F.col("line_no"), F.col("text"), "\n").alias("t"))
+    return pages.select("pair_id", "side", "page_index", T.normalize_text(F.col("t")).alias("normalized_text"))
+
+
+@query(
+    f"""WITH {X.LAYOUT_SQL}, whole AS (SELECT doc_id, max(page_index) + 1 AS page_end, string_agg(text, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY doc_id)
+    SELECT doc_id, 'sec_document' AS section_id, page_end, length(k) AS text_length, len({X.sql_words('k')}) AS word_count, sha256({X.sql_key('k')}) AS normalized_text_hash FROM (SELECT *, {X.sql_kept('t')} AS k FROM whole)"""
+)
+def whole_document_section(spark, sf_dir):
+    rows = _by_doc(sections.whole_document(_pages(spark, sf_dir)))
+    return rows.select("doc_id", "section_id", F.col("page_end").cast("long").alias("page_end"), F.col("text_length").cast("long").alias("text_length"), F.col("word_count").cast("long").alias("word_count"), "normalized_text_hash")
+
+
+def _entries(spark, sf_dir):
+    heads = X.layout_lines(spark, sf_dir).where("line_no % 11 = 0")
+    return layout.outline(heads.select("pair_id", "side", F.col("line_no").alias("ord"), F.lit(1).alias("level"), F.concat_ws(" ", F.col("line_no").cast("string"), "text").alias("title"), (F.col("page_index") + 1).alias("page")))
+
+
+@query()
+def outline_anchors(spark, sf_dir):
+    return _by_doc(sections.outline_anchors(_entries(spark, sf_dir), _blocks(spark, sf_dir))).drop("side")
+
+
+@query()
+def outline_sections(spark, sf_dir):
+    rows = _candidates(spark, sf_dir)
+    return _by_doc(sections.outline_sections(_entries(spark, sf_dir), _blocks(spark, sf_dir), layout.dominant_body_size(rows))).drop("page_map", "raw_text", "normalized_text")
+
+
+@query()
+def font_sections(spark, sf_dir):
+    numbered = F.when(F.col("line_no") % 11 == 0, F.concat(F.col("line_no").cast("string"), F.lit(" "), F.substring("text", 1, 30))).otherwise(F.col("text"))
+    rows = layout.candidate_lines(X.layout_lines(spark, sf_dir).withColumn("text", numbered), X.layout_regions(spark, sf_dir))
+    body = layout.dominant_body_size(rows)
+    return _by_doc(sections.font_sections(layout.assemble_blocks(layout.without_orphans(rows, body)), body)).drop("page_map", "raw_text", "normalized_text")
+
+
+def _numbered_pages(spark, sf_dir):
+    lines = X.layout_lines(spark, sf_dir)
+    n = F.col("line_no")
+    text = F.when(n % 4 == 0, F.concat((n / 4 + 1).cast("int").cast("string"), F.lit(" Chapter "), F.substring("text", 1, 20))).when(n % 4 == 2, F.concat((n / 4 + 1).cast("int").cast("string"), F.lit(".1 Part"))).otherwise(F.col("text"))
+    pages = lines.groupBy("pair_id", "side", "page_index").agg(layout.ordered_text(n, text, "\n").alias("t"))
+    return pages.select("pair_id", "side", "page_index", T.normalize_text(F.col("t")).alias("normalized_text"))
+
+
+@query()
+def hierarchy_filter(spark, sf_dir):
+    return _by_doc(sections.hierarchy_filter(sections.numbered_headings(_numbered_pages(spark, sf_dir)))).drop("side")
+
+
+@query()
+def regex_sections(spark, sf_dir):
+    return _by_doc(sections.pattern_sections(_numbered_pages(spark, sf_dir))).drop("page_map", "raw_text", "normalized_text")
+
+
+@query()
+def cluster_rects(spark, sf_dir):
+    """Clusters of the rectangles that lines with large letters span, an array a document."""
+    rows = X.layout_lines(spark, sf_dir).where("size >= 9")
+    rects = F.transform(F.array_sort(F.collect_list(F.struct("page_index", "line_no", "x0", "y0", "x1", "y1"))), lambda r: F.struct(r["x0"].alias("x0"), r["y0"].alias("y0"), r["x1"].alias("x1"), r["y1"].alias("y1")))
+    out = rows.groupBy("pair_id", "page_index").agg(rects.alias("r"))
+    return _by_doc(out.select("pair_id", "page_index", F.explode(layout.cluster_rects(F.col("r"))).alias("c")).select("pair_id", "page_index", "c.*"))
+
+
+# -- matching ------------------------------------------------------------------------
+V = f"WITH {X.VERSIONS_SQL}"
+PAIRED = "m IN (2, 3, 4, 5, 6, 8, 9)"
+
+
+@query(f"{V} SELECT pair_id, section_id AS old_section_id, section_id AS new_section_id FROM docs JOIN (SELECT doc_id, 'sec_' || replace(number, '.', '_') AS section_id FROM base) USING (doc_id) WHERE {PAIRED}")
+def match_by_number(spark, sf_dir):
+    v = X.versions(spark, sf_dir)
+    return match.match_by_number(v["old"], v["new"])
+
+
+@query(ORACLES["match_by_number"])
+def match_by_title(spark, sf_dir):
+    v = X.versions(spark, sf_dir)
+    return match.match_by_title(v["old"], v["new"])
+
+
+def _matches(spark, sf_dir):
+    v = X.versions(spark, sf_dir)
+    old, new = v["old"].persist(), v["new"].persist()
+    return match.match_sections(old, new).persist(), old, new
+
+
+@query(
+    f"""{V} SELECT pair_id, CASE WHEN m = 0 THEN 'removed' WHEN m = 1 THEN 'needs_review' WHEN m = 7 THEN 'added' ELSE 'matched' END AS status, CASE WHEN m = 7 THEN '' ELSE s END AS old_section_id, CASE WHEN m < 2 THEN '' ELSE s END AS new_section_id
+    FROM (SELECT *, 'sec_' || replace(number, '.', '_') AS s FROM docs)"""
+)
+def section_matches(spark, sf_dir):
+    """The whole alignment: by number, by title, by similarity, and what needs review."""
+    return _matches(spark, sf_dir)[0].select("pair_id", "status", "old_section_id", "new_section_id")
+
+
+@query(f"{V} SELECT pair_id, CASE WHEN m = 7 THEN 'added' ELSE 'removed' END AS status, 'sec_' || replace(number, '.', '_') AS section_id FROM docs WHERE m IN (0, 7)")
+def unmatched_added_removed(spark, sf_dir):
+    rows = _matches(spark, sf_dir)[0].where("status IN ('added', 'removed')")
+    return rows.select("pair_id", "status", F.coalesce(F.nullif("old_section_id", F.lit("")), "new_section_id").alias("section_id"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {X.sql_key('text')} AS key FROM {DOCS}), b AS (SELECT item_id, substr({X.sql_key('text')}, 1, 60) AS key FROM benchmark)
+    SELECT item_id, count(*) AS n_docs FROM b JOIN d ON contains(d.key, b.key) WHERE length(b.key) >= 8 GROUP BY item_id"""
+)
+def title_containment_review(spark, sf_dir):
+    """In how many documents the start of each benchmark passage occurs, by canonical text.
+
+    Passages and documents meet on a ten-letter piece first, so no pair is compared without one in common.
+    """
+    docs = X.documents(spark, sf_dir).select("doc_id", T.canonical_key(F.col("text")).alias("text_key"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.substring(T.canonical_key(F.col("text")), 1, 60).alias("key")).where("length(key) >= 10")
+    pieces = docs.where("length(text_key) >= 10").select("doc_id", "text_key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text_key") - 9), lambda i: F.substring(F.col("text_key"), i, F.lit(10))))).alias("piece")).select("doc_id", "piece")
+    hits = pieces.join(items.withColumn("piece", F.substring("key", 1, 10)), "piece").select("doc_id", "item_id", "key").join(docs, "doc_id")
+    return hits.where(F.col("text_key").contains(F.col("key"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+@query()
+def similarity_residual(spark, sf_dir):
+    """Near copies (equal first 80 canonical letters) matched by similarity alone."""
+    docs = X.documents(spark, sf_dir).select(F.substring(T.canonical_key(F.col("text")), 1, 80).alias("pair_id"), "doc_id", "text").where("length(pair_id) >= 80")
+    order = F.row_number().over(Window.partitionBy("pair_id").orderBy("doc_id"))
+    rows = docs.withColumn("n", order).select("pair_id", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("section_id"), F.lit("").alias("number"), F.col("doc_id").cast("string").alias("key"), F.col("n").alias("order_index"), F.substring("text", 1, match.PREFIX).alias("prefix"))
+    old, new = rows.where("order_index % 2 = 1"), match._renewed(rows.where("order_index % 2 = 0"))
+    return match.residual_matches(old, new).where("new_section_id is not null").select("pair_id", "old_section_id", "new_section_id", F.round("score", 6).alias("score"), "reason")
+
+
+@query()
+def greedy_assignment(spark, sf_dir):
+    """Sections whose titles and numbers cross: an earlier title may take what a later number wants."""
+    v = X.versions(spark, sf_dir)
+    order = Window.partitionBy("pair_id").orderBy("order_index")
+    crossed = v["new"].withColumn("number", F.coalesce(F.lag("number").over(order), F.lit("0")))
+    return match.indexed_matches(v["old"], crossed)
+
+
+# -- edits ---------------------------------------------------------------------------
+@query(f"{V} SELECT pair_id, 'sec_' || replace(number, '.', '_') AS section_id FROM kept WHERE {PAIRED} AND {X.sql_key('n1')} <> {X.sql_key('n2')}")
+def hash_skip(spark, sf_dir):
+    m, old, new = _matches(spark, sf_dir)
+    return diff.paired(m, old, new).select("pair_id", F.col("old_section_id").alias("section_id"))
+
+
+def _changes(spark, sf_dir):
+    return diff.diff(*_matches(spark, sf_dir))
+
+
+EDIT = ["pair_id", "diff_id", "section_number", "section_title", "page_v1", "page_v2", "old_change", "new_change"]
+
+
+def _edits_of(kind: str):
+    return lambda spark, sf_dir: diff.edits(*_matches(spark, sf_dir)).where(F.col("change_type") == kind).select(*EDIT)
+
+
+for _kind in ("added", "deleted", "changed"):
+    QUERIES[f"token_diff_{_kind}"] = _edits_of(_kind)
+    ORACLES[f"token_diff_{_kind}"] = f"{V} SELECT {', '.join(EDIT)} FROM changes WHERE change_type = '{_kind}' AND diff_id NOT LIKE '%section_sec%'"
+
+SNIPPETS = ["pair_id", "diff_id", "old_prefix", "old_change", "old_suffix", "new_prefix", "new_change", "new_suffix", "old_snippet", "new_snippet"]
+
+
+@query(f"{V} SELECT {', '.join(SNIPPETS)} FROM changes WHERE diff_id NOT LIKE '%section_sec%'")
+def diff_context_snippets(spark, sf_dir):
+    return diff.edits(*_matches(spark, sf_dir)).select(*SNIPPETS)
+
+
+@query(f"{V} SELECT pair_id, diff_id, severity, page_v1, page_v2, old_snippet, new_snippet, deterministic_summary FROM changes WHERE diff_id LIKE '%section_sec%'")
+def whole_section_items(spark, sf_dir):
+    m, old, new = _matches(spark, sf_dir)
+    rows = diff.whole_sections(m, old, "deleted").unionByName(diff.whole_sections(m, new, "added"))
+    return rows.select("pair_id", "diff_id", "severity", "page_v1", "page_v2", "old_snippet", "new_snippet", "deterministic_summary")
+
+
+@query(f"{V} SELECT pair_id, diff_id, change_type, old_change, new_change FROM changes WHERE diff_id NOT LIKE '%section_sec%'")
+def two_level_diff(spark, sf_dir):
+    """Edits of sections with a piece of their page map for every line, by lines first whatever their length."""
+    v = X.versions(spark, sf_dir)
+    mapped = lambda df: df.withColumn("page_map", F.transform(F.split("normalized_text", "\n"), lambda x: F.struct(F.lit(1).alias("page"), x.alias("text"))))
+    old, new = mapped(v["old"]).persist(), mapped(v["new"]).persist()
+    rows = diff.edits(match.match_sections(old, new), old, new, two_level=0)
+    return rows.select("pair_id", "diff_id", "change_type", "old_change", "new_change")
+
+
+@query(f"{V} SELECT pair_id, diff_id, severity FROM changes")
+def severity(spark, sf_dir):
+    return _changes(spark, sf_dir).select("pair_id", "diff_id", "severity")
+
+
+COUNTS = "count(*) FILTER (WHERE change_type = 'added') AS added, count(*) FILTER (WHERE change_type = 'deleted') AS deleted, count(*) FILTER (WHERE change_type = 'changed') AS changed, count(*) AS total"
+
+
+@query(f"{V} SELECT {COUNTS} FROM changes")
+def kpi_summary(spark, sf_dir):
+    return report.kpi_summary(_changes(spark, sf_dir))
+
+
+@query(f"{V} SELECT split_part(section_number, '.', 1) AS chapter, {COUNTS} FROM changes GROUP BY 1")
+def kpi_by_chapter(spark, sf_dir):
+    return report.kpi_by_chapter(_changes(spark, sf_dir)).orderBy("chapter_order").drop("chapter_order")
+
+
+SAID = "CASE change_type WHEN 'added' THEN 'Added in ' || section_number || ' ' || section_title || ': ' || new_snippet WHEN 'deleted' THEN 'Deleted from ' || section_number || ' ' || section_title || ': ' || old_snippet ELSE 'Changed in ' || section_number || ' ' || section_title || ': ' || old_snippet || ' -> ' || new_snippet END"
+
+
+@query(f"{V} SELECT pair_id, section_number || ' ' || section_title AS section, {SAID} AS revision_summary, severity, diff_id AS source_diff_id FROM changes")
+def revision_entries(spark, sf_dir):
+    return report.revision_entries(report.summarize(_changes(spark, sf_dir)))
+
+
+@query(f"{V} SELECT pair_id, diff_id, change_type AS type, section_number AS number, section_number || ' ' || section_title AS section, coalesce(nullif(page_v2, ''), page_v1) AS page, old_snippet AS old, new_snippet AS new, old_prefix, old_change, old_suffix, new_prefix, new_change, new_suffix FROM changes")
+def change_records(spark, sf_dir):
+    return report.change_records(_changes(spark, sf_dir))
+
+
+def _short(x: str) -> str:
+    return f"CASE WHEN {x} = '' THEN 'content' WHEN length({x}) <= 180 THEN {x} ELSE rtrim(substr({x}, 1, 177)) || '...' END"
+
+
+@query(
+    f"""{V} SELECT pair_id, diff_id, CASE change_type WHEN 'added' THEN 'Added in ' || w || ': ' || {_short('new_snippet')} WHEN 'deleted' THEN 'Deleted from ' || w || ': ' || {_short('old_snippet')} ELSE 'Changed ' || w || ': ' || {_short('old_snippet')} || ' -> ' || {_short('new_snippet')} END AS line
+    FROM (SELECT *, 'section ' || section_number || ' ' || section_title || ' (Page ' || coalesce(nullif(page_v2, ''), page_v1) || ')' AS w FROM changes)"""
+)
+def format_lines(spark, sf_dir):
+    return report.format_lines(_changes(spark, sf_dir))
+
+
+@query(
+    f"""{V}, t AS (SELECT pair_id, count(*) AS sections_total FROM docs WHERE m >= 2 GROUP BY pair_id), c AS (SELECT pair_id, count(DISTINCT section_number) AS sections_changed FROM changes GROUP BY pair_id)
+    SELECT pair_id, sections_total, sections_total AS sections_compared, coalesce(sections_changed, 0) AS sections_changed FROM t LEFT JOIN c USING (pair_id)"""
+)
+def changed_section_stats(spark, sf_dir):
+    m, old, new = _matches(spark, sf_dir)
+    return report.section_stats(new, diff.diff(m, old, new))
+
+
+@query(f"{V} SELECT pair_id, section_number AS group_key, section_number, section_title, severity, coalesce(try_cast(page_v1 AS INT), 0) AS v1_page, coalesce(try_cast(page_v2 AS INT), 0) AS v2_page, 1::BIGINT AS change_count FROM changes")
+def visual_groups(spark, sf_dir):
+    return report.visual_groups(_changes(spark, sf_dir)).drop("first")
+
+
+def _esc(x: str) -> str:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = f"replace({x}, {X.q(plain)}, {X.q(entity)})"
+    return x
+
+
+def _side(s: str, colour: str) -> str:
+    span = f"""'<span style="color:{colour};font-weight:600">' || {_esc(f'{s}_change')} || '</span>'"""
+    return f"{_esc(f'{s}_prefix')} || CASE WHEN {s}_change = '' THEN '' ELSE CASE WHEN {s}_prefix = '' THEN '' ELSE ' ' END || {span} END"
+
+
+_CASE = lambda k: "CASE change_type " + " ".join(f"WHEN '{t}' THEN '{style[k]}'" for t, style in report.STYLE.items()) + " END"
+
+
+@query(
+    f"""{V} SELECT pair_id, diff_id, '<tr style="background:' || {_CASE(2)} || '"><td><span style="color:' || {_CASE(1)} || ';font-weight:600">' || {_CASE(0)} || '</span></td><td>' || section_number || '</td><td>' || section_number || ' ' || section_title
+    || '</td><td>Page ' || coalesce(nullif(page_v2, ''), page_v1) || '</td><td>' || {_side('old', report.OLD_COLOUR)} || '</td><td>' || {_side('new', report.NEW_COLOUR)} || '</td></tr>' AS html FROM changes"""
+)
+def html_rows(spark, sf_dir):
+    return report.html_rows(_changes(spark, sf_dir)).select("pair_id", "diff_id", "html")
+
+
+@query()
+def html_reports(spark, sf_dir):
+    return report.html_reports(_changes(spark, sf_dir))
+
+
+def _words(spark, sf_dir) -> DataFrame:
+    v = X.versions(spark, sf_dir)
+    rows = v["old"].select("section_id", "side", "pair_id", "normalized_text").unionByName(v["new"].select("section_id", "side", "pair_id", "normalized_text"))
+    words = rows.select(F.concat_ws("/", "pair_id", "section_id").alias("pair_id"), "side", F.posexplode(T.words(F.col("normalized_text"))).alias("word_no", "word"))
+    x = F.col("word_no").cast("double")
+    return words.select("pair_id", "side", F.lit(1).alias("page"), "word_no", x.alias("x0"), F.lit(0.0).alias("y0"), (x + 1).alias("x1"), F.lit(1.0).alias("y1"), "word")
+
+
+@query(
+    f"""{V} SELECT pair_id || '/' || section_id AS pair_id, side, change_type AS kind, count(*) AS n_boxes FROM (
+    SELECT pair_id, section_id, 'v2' AS side, change_type, unnest(CASE WHEN m = 8 THEN [1, 2, 3, 4, 5, 6] ELSE [1] END) FROM edited WHERE change_type IN ('added', 'changed')
+    UNION ALL SELECT pair_id, section_id, 'v1', change_type, 1 FROM edited WHERE change_type IN ('deleted', 'changed')) GROUP BY ALL"""
+)
+def locate_highlights(spark, sf_dir):
+    """How many words each edit covers on its page; every section is a page of its own."""
+    edits = diff.edits(*_matches(spark, sf_dir))
+    edits = edits.withColumn("pair_id", F.concat_ws("/", "pair_id", "new_section_id"))
+    return locate.highlights(edits, _words(spark, sf_dir)).groupBy("pair_id", "side", "kind").agg(F.count("*").alias("n_boxes"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return kpi_by_chapter(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
