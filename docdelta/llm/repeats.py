@@ -305,7 +305,8 @@ def repeats(rows: DataFrame, window: int, core: int, hot: int, chunk: int) -> Da
     """(did, tid, lo, hi): ranges of bytes of documents that repeats cover, as they are found."""
     extra = window - core
     every = occurrences(rows, window, core)
-    twice = every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    # Written first: a join of two plain shuffles is one whose hot keys adaptive execution can split.
+    twice = materialize(every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
     every = materialize(every.join(twice, "key"), "anchors")
     regions = every.groupBy("key", "region").agg(F.count("*").alias("times"), F.first("did").alias("did"), F.first("tid").alias("tid"), F.first("place").alias("place"))
     regions = materialize(regions, "regions")
@@ -313,6 +314,7 @@ def repeats(rows: DataFrame, window: int, core: int, hot: int, chunk: int) -> Da
         "did", "tid", (F.col("place") - extra).alias("lo"), (F.col("place") + window).alias("hi")
     )
     open_ = regions.groupBy("key").agg(F.count("*").alias("different"), F.min("times").alias("least")).where("different > 1 AND least = 1").select("key", "different")
+    open_ = materialize(open_, "keys")
     wanted = regions.join(open_, "key").groupBy("did", "tid").agg(
         F.collect_list(F.struct("key", "place", (F.col("times") == 1).alias("decide"), (F.col("different") > hot).alias("hot"))).alias("wanted")
     )
