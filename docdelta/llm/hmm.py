@@ -7,7 +7,7 @@ shares by their exact counts. Baum-Welch counts of every training document are
 summed over partitions, a round a job; a scaled forward recursion then gives
 the exact log likelihood of each whole text.
 
-The counts of the ``HEAD`` most frequent words (a fixed bound) are broadcast.
+The counts of the most frequent words, ``HEAD`` at most, are broadcast.
 All other words, which are rare by construction, get their exact counts in a
 join, a row for each document and word, so no vocabulary size is assumed.
 """
@@ -70,7 +70,7 @@ class Vocabulary:
 
     words: int
     classes: int
-    rank: dict[bytes, int]  # of the HEAD most frequent words
+    rank: dict[bytes, int]  # of the most frequent words
     count: np.ndarray  # by rank
     symbol: np.ndarray  # by rank
     mass: np.ndarray  # by symbol: count and room for words not seen
@@ -88,7 +88,15 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, ends: int, most: int = HEAD, words: int = WORDS, classes: int = CLASSES) -> Vocabulary:
     sums = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(most).collect()
+    # The words of the highest counts, by steps of the logarithm: as many steps as hold at most ``most`` words.
+    level = F.floor(F.log(F.col("c")) * 64).cast("int")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["level"]
+    head = [] if least is None else sorted(counts.where(level >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     rank = {bytes(r["word"]): i for i, r in enumerate(head)}
     count = np.array([r["c"] for r in head], np.int64)
     symbol = np.array([i + 1 if i < words else 1 + words + class_of(w, classes) for w, i in rank.items()], np.int64)
