@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 K = 128
 WIDTH = 5
 BITS = 48
+MOST_BROADCAST = 100_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,7 +73,7 @@ def fingerprint(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), BITS // 4, "0")), "")
 
 
-def with_next(docs: DataFrame, derive, per_bucket: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, derive, per_bucket: int = 1024) -> DataFrame:
     """Every row with the columns that ``derive`` adds, and ``next``: a struct of the next row's.
 
     Rows go by doc_id (nulls first), then by a hash of the text; the last row's
@@ -89,10 +90,11 @@ def with_next(docs: DataFrame, derive, per_bucket: int = 4096) -> DataFrame:
     firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("f"))
     order = Window.orderBy("bucket")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    buckets = (hi - lo) // width + 2
     before = firsts.select("f.doc_id", "f.h", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(everything)).alias("to"))
     extra = (
         rows.alias("r")
-        .join(before.alias("b"), F.expr("r.doc_id <=> b.doc_id AND r.h = b.h"))
+        .join((F.broadcast(before) if buckets <= MOST_BROADCAST else before).alias("b"), F.expr("r.doc_id <=> b.doc_id AND r.h = b.h"))
         .select("r.doc_id", "r.text", F.col("b.to").alias("bucket"), "r.h")
         .dropDuplicates(["bucket", "doc_id", "h"])
     )
