@@ -45,6 +45,7 @@ def token_table(docs: DataFrame, path: str) -> DataFrame:
                     [batch.column(0).slice(done, len(block)), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "ids", "n"]
                 )
                 done += len(block)
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
         work, "doc_id long, ids binary, n long"

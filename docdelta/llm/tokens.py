@@ -70,7 +70,7 @@ class Cache:
 class WordEncoder:
     """ids of texts as packed unsigned integers (two bytes each where the vocabulary allows)."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
