@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docdelta.functions import text as T
+from docdelta.sources.tables import written
 
 THRESHOLD = 0.72
 PREFIX = 4000
@@ -126,7 +127,7 @@ def match_sections(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD,
     status is matched, removed, added, or needs_review where a section has no
     partner but its title occurs in the other document.
     """
-    first = indexed_matches(old, new).persist()  # read several times below; lost parts are computed again
+    first = written(indexed_matches(old, new), "matches")  # read several times below
     matched = first.where("new_section_id is not null")
     taken = matched.select("pair_id", F.col("new_section_id").alias("section_id"))
     open_ids = first.where("new_section_id is null").select("pair_id", F.col("old_section_id").alias("section_id"))
@@ -134,7 +135,7 @@ def match_sections(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD,
     cut = lambda df: df.withColumn("prefix", prefix)
     rest_old = _keys(cut(old.join(open_ids, ["pair_id", "section_id"], "left_semi")), "prefix")
     rest_new = _keys(cut(new.join(taken, ["pair_id", "section_id"], "left_anti")), "prefix")
-    second = residual_matches(rest_old, rest_new, threshold, autojunk).persist()
+    second = written(residual_matches(rest_old, rest_new, threshold, autojunk), "matches")
     pairs = matched.unionByName(second.where("new_section_id is not null"))
     done = pairs.select(
         "pair_id", F.concat_ws("_", F.lit("match"), "old_section_id", "new_section_id").alias("match_id"), F.lit("matched").alias("status"),

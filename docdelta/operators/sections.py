@@ -252,7 +252,7 @@ def _plain(rows: DataFrame, compared: Column | None) -> DataFrame:
     enabled = F.lit(True) if compared is None else compared & (F.col("normalized_text") != "")
     return rows.withColumns(
         {
-            "comparison_enabled": enabled, "normalized_text_hash": T.stable_hash(T.canonical_comparison_text(F.col("source"))),
+            "comparison_enabled": enabled, "normalized_text_hash": T.stable_hash(T.canonical_key(F.col("normalized_text"))),
             "text_length": F.length("normalized_text"), "word_count": T.word_count(F.col("normalized_text")), "page_map": _empty_items(),
         }
     ).select(*COLUMNS)

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from docdelta.operators import diff, layout, match, report, sections
 from docdelta.sources import layout as sources
 from docdelta.sources.sinks import write_artifacts
+from docdelta.sources.tables import written
 
 
 @dataclass
 class ComparisonResult:
-    """Lazy tables of a comparison of many pairs, and seconds by stage where they ran."""
+    """Tables of a comparison of many pairs, and seconds by stage."""
 
     old_sections: DataFrame
     new_sections: DataFrame
@@ -58,16 +59,16 @@ class Comparison:
         self.structure, self.matcher, self.differ, self.summarizer, self.client = structure, matcher, differ, summarizer, client
 
     def compare(self, tables: dict[str, DataFrame], output: str | None = None, progress: Callable[[str], None] | None = None, debug: bool = False) -> ComparisonResult:
-        """Everything stays lazy unless ``output`` names a folder for artifacts, or ``progress`` is told of stages as they run."""
+        """Each stage is written to the shared folder as it ends, for the next one and whoever reads the result.
+
+        ``output`` names a folder for artifacts; ``progress`` is told of the stages.
+        """
         say, timings, began = progress or (lambda message: None), {}, time.perf_counter()
-        eager = progress is not None or output is not None
 
         def stage(name: str, message: str, make: Callable[[], DataFrame]) -> DataFrame:
             say(message)
             start = time.perf_counter()
-            df = make().persist()  # each stage reads the one before it several times
-            if eager:
-                df.count()
+            df = written(make(), name)
             timings[name] = time.perf_counter() - start
             return df
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from docdelta.functions import text as T
 from docdelta.operators import diff, layout, locate, match, report, sections
 from docdelta.plans import fixtures as X
+from docdelta.sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,8 +327,8 @@ def match_by_title(spark, sf_dir):
 
 def _matches(spark, sf_dir):
     v = X.versions(spark, sf_dir)
-    old, new = v["old"].persist(), v["new"].persist()
-    return match.match_sections(old, new).persist(), old, new
+    old, new = written(v["old"], "versions"), written(v["new"], "versions")
+    return written(match.match_sections(old, new), "matches"), old, new
 
 
 @query(
@@ -422,7 +423,7 @@ def two_level_diff(spark, sf_dir):
     """Edits of sections with a piece of their page map for every line, by lines first whatever their length."""
     v = X.versions(spark, sf_dir)
     mapped = lambda df: df.withColumn("page_map", F.transform(F.split("normalized_text", "\n"), lambda x: F.struct(F.lit(1).alias("page"), x.alias("text"))))
-    old, new = mapped(v["old"]).persist(), mapped(v["new"]).persist()
+    old, new = written(mapped(v["old"]), "versions"), written(mapped(v["new"]), "versions")
     rows = diff.edits(match.match_sections(old, new), old, new, two_level=0)
     return rows.select("pair_id", "diff_id", "change_type", "old_change", "new_change")
 

@@ -1,7 +1,6 @@
 import difflib
 import random
 
-import pytest
 from docdelta.operators import diff, locate, match, report
 from docdelta.plans.client import ChatClient, duration
 from docdelta.plans.pipeline import Comparison, Engine
@@ -28,19 +27,18 @@ def test_added_deleted_changed(spark):
     assert by["changed"].ai_summary == "Changed in 1 Intro: Voltage is 1.8 V here now -> Voltage is 3.3 V here now"
 
 
-@pytest.mark.parametrize(
-    ("old", "new", "want"),
-    [
+def test_isolated_edits(spark):
+    cases = [
         ("The Cube7/H5/H7/H7RS provides a driver.", "The Cube7/H5/H7/H8RS provides a driver.", [("changed", "Cube7/H5/H7/H7RS", "Cube7/H5/H7/H8RS")]),
         ("else it transmits NACK. After the data.", "else it transmits NACK and NASE especially. After the data.", [("added", "", "and NASE especially")]),
         ("please refer to AN2606 for details", "please refer to AN2004 for details", [("changed", "AN2606", "AN2004")]),
         ("If N = 0 first then. If N = 0 second then. If N = 0 third then.", "If N = 1 first then. If N = 1 second then. If N = 1 third then.", [("changed", "0", "1")] * 3),
         ("Hello, world again", "hello world; again", []),
-    ],
-)
-def test_isolated_edits(spark, old, new, want):
-    rows = compare(spark, f"1 Xx title\n{old}", f"1 Xx title\n{new}").changes.orderBy("edit").collect()
-    assert [(r.change_type, r.old_change, r.new_change) for r in rows] == want
+    ]
+    result = compare(spark, [f"1 Xx title\n{old}" for old, _, _ in cases], [f"1 Xx title\n{new}" for _, new, _ in cases])
+    rows = result.changes.orderBy("pair_id", "edit").collect()
+    for i, (_, _, want) in enumerate(cases):
+        assert [(r.change_type, r.old_change, r.new_change) for r in rows if r.pair_id == f"p{i}"] == want
 
 
 def reference_changes(old, new, limit):
@@ -137,8 +135,8 @@ CHANGE = "pair_id string, diff_id string, change_type string, section_number str
 
 def changes(spark, *rows):
     names = [f.split()[0] for f in CHANGE.split(", ")]
-    df = spark.createDataFrame([tuple({"pair_id": "p", "severity": "minor", **r}.get(n, "") for n in names) for r in rows], CHANGE)
-    return df.withColumns({"phase": F.lit(1), "ord": F.lit(0), "edit": F.monotonically_increasing_id().cast("int"), "ai_summary": F.lit(""), "deterministic_summary": F.lit("Text changed.")})
+    df = spark.createDataFrame([(*({"pair_id": "p", "severity": "minor", **r}.get(n, "") for n in names), i) for i, r in enumerate(rows)], CHANGE + ", edit int")
+    return df.withColumns({"phase": F.lit(1), "ord": F.lit(0), "ai_summary": F.lit(""), "deterministic_summary": F.lit("Text changed.")})
 
 
 def test_figures_and_lines(spark):
