@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
+from pyspark.sql.window import Window
 
 from docdelta.functions import text as T
 from docdelta.operators.report import visual_groups
@@ -27,13 +28,10 @@ def words_outside(words: DataFrame, regions: DataFrame) -> DataFrame:
 
 def page_index(words: DataFrame) -> DataFrame:
     """One row a page: its canonical text, and its words with the place of each in it."""
-    rows = words.withColumn("key", T.canonical_key(F.col("word")))
-    pages = rows.groupBy("pair_id", "side", "page").agg(F.array_sort(F.collect_list(F.struct("word_no", "key", "x0", "y0", "x1", "y1"))).alias("words"))
-    pages = pages.withColumn("page_text", F.array_join(F.transform("words", lambda w: w["key"]), ""))
-    ends = F.aggregate(
-        "words", F.array().cast("array<int>"), lambda acc, w: F.concat(acc, F.array(F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(F.lit(0))), -1), F.lit(0)) + F.length(w["key"])))
-    )
-    return pages.withColumn("ends", ends)
+    order = Window.partitionBy("pair_id", "side", "page").orderBy("word_no")
+    rows = words.withColumn("key", T.canonical_key(F.col("word"))).withColumn("end", F.sum(F.length("key")).over(order))
+    pages = rows.groupBy("pair_id", "side", "page").agg(F.array_sort(F.collect_list(F.struct("word_no", "key", "end", "x0", "y0", "x1", "y1"))).alias("words"))
+    return pages.withColumn("page_text", F.array_join(F.transform("words", lambda w: w["key"]), ""))
 
 
 def _targets(prefix: Column, change: Column, suffix: Column) -> Column:
@@ -60,15 +58,17 @@ def located(changes: DataFrame, words: DataFrame, side: str) -> DataFrame:
     name, page, types = ("old", "page_v1", ["deleted", "changed"]) if side == "v1" else ("new", "page_v2", ["added", "changed"])
     rows = changes.where(F.col("change_type").isin(types) & (T.strip(F.col(f"{name}_change")) != ""))
     rows = rows.withColumn("page", F.coalesce(F.trim(F.col(page)).try_cast("int"), F.lit(0)))
-    pages = page_index(words.where(F.col("side") == side)).select("pair_id", "page", "words", "ends", "page_text")
+    pages = page_index(words.where(F.col("side") == side)).select("pair_id", "page", "words", "page_text")
     rows = rows.join(pages, ["pair_id", "page"], "left")
     targets = _targets(F.col(f"{name}_prefix"), F.col(f"{name}_change"), F.col(f"{name}_suffix"))
     hits = F.filter(F.transform(targets, lambda t: F.struct((F.instr(F.col("page_text"), t["target"]) - 1 + t["skip"]).alias("at"), (F.instr(F.col("page_text"), t["target"]) > 0).alias("hit"), t["length"].alias("length"))), lambda h: h["hit"])
-    rows = rows.withColumn("hit", F.get(hits, F.lit(0)))
-    a, b = F.col("hit.at"), F.col("hit.at") + F.col("hit.length")
-    covering = F.filter(F.arrays_zip("words", "ends"), lambda w: (w["ends"] > a) & (w["ends"] - F.length(w["words"]["key"]) < b) & (F.length(w["words"]["key"]) > 0))
-    boxes = F.transform(covering, lambda w: F.struct(*[w["words"][c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
-    return rows.withColumn("boxes", F.when(F.col("hit").isNotNull(), boxes).otherwise(F.array().cast(BOX))).drop("words", "ends", "page_text", "hit")
+    def covered(hit):
+        a, b = hit["at"], hit["at"] + hit["length"]
+        inside = F.filter("words", lambda w: (w["end"] > a) & (w["end"] - F.length(w["key"]) < b) & (F.length(w["key"]) > 0))
+        boxes = F.transform(inside, lambda w: F.struct(*[w[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+        return F.when(hit.isNotNull(), boxes).otherwise(F.array().cast(BOX))
+
+    return rows.withColumn("boxes", T.let(F.get(hits, F.lit(0)), covered)).drop("words", "page_text")
 
 
 def highlights(changes: DataFrame, words: DataFrame, regions: DataFrame | None = None) -> DataFrame:
