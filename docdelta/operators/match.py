@@ -105,7 +105,10 @@ def residual_matches(old: DataFrame, new: DataFrame, threshold: float = THRESHOL
             out.append((r.pair_id, r.section_id, hit.section_id if hit is not None else None, score, reason if hit is not None else "", 2, r.order_index))
         return pd.DataFrame(out, columns=["pair_id", *[f.split()[0] for f in FIELDS.split(", ")]])
 
-    return old.groupBy("pair_id").cogroup(new.groupBy("pair_id")).applyInPandas(assign, f"pair_id {_kind(old)}, {FIELDS}")
+    # Few bytes but much work a row: a given number of partitions keeps adaptive execution from merging them.
+    parts = int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = [df.repartition(parts, "pair_id").groupBy("pair_id") for df in (old, new)]
+    return dealt[0].cogroup(dealt[1]).applyInPandas(assign, f"pair_id {_kind(old)}, {FIELDS}")
 
 
 def corpus_keys(sections: DataFrame) -> DataFrame:
