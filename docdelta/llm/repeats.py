@@ -15,7 +15,9 @@ holds the anchor must be decided:
   samples they fall by one a byte. Windows whose match is long enough are marked.
 
 An anchor with more than ``hot`` different regions is dealt by its regions'
-longer inner strings instead, so that no task gathers all of them.
+longer inner strings instead. Of such a region only the bytes on both sides of
+the inner string are sent; regions of one inner string are compared window by
+window in sorted order, so a group of any size takes neither an index nor pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,6 +40,7 @@ BLOCK = 1 << 20
 CUTS = 4
 CHUNK = 1 << 20
 HOT = 4000
+BUFFER = 50_000
 
 _FACTOR = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 20) - 1)
@@ -87,15 +91,14 @@ def anchors(text: bytes, window: int = WINDOW, core: int = CORE) -> tuple[np.nda
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array of an array of codes below 512: seven codes sort first, then ranks in threes."""
+    """The suffix array of an array of codes below 512: seven codes sort first, then ranks in threes (long arrays: in twos)."""
     n = len(text)
     padded = np.zeros(n + 7, np.int64)
     padded[:n] = text + 1
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = (key << 9) | padded[j : j + n]
-    depth, bits = 7, 21
-    assert n < (1 << bits) - 1
+    depth, bits, ranks = (7, 21, 3) if n < (1 << 21) - 1 else (7, 31, 2)
     while True:
         order = np.argsort(key, kind="stable")
         change = np.r_[0, (key[order][1:] != key[order][:-1]).astype(np.int64)]
@@ -104,8 +107,10 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
             return order
         rank = np.zeros(n + 2 * depth, np.int64)
         rank[order] = classes + 1
-        key = (rank[:n] << (2 * bits)) | (rank[depth : n + depth] << bits) | rank[2 * depth : n + 2 * depth]
-        depth *= 3
+        key = rank[:n]
+        for j in range(1, ranks):
+            key = (key << bits) | rank[j * depth : n + j * depth]
+        depth *= ranks
 
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,6 +194,79 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+def shared_windows(keys: np.ndarray, sides: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """For regions around inner strings, which of their windows another region of the same key holds at the same place.
+
+    ``sides`` are the ``step`` bytes before each inner string and the ``step``
+    after it, of which ``before`` and ``after`` exist. Window ``j`` leaves out the
+    first ``j`` bytes before and takes ``j`` after. Equal hashes are verified.
+    """
+    n, step = len(sides), sides.shape[1] // 2
+    tables = np.random.default_rng(0).integers(0, 1 << 63, (2 * step, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+    flags = np.zeros((n, step + 1), bool)
+    h = (keys * np.array([_FACTOR, 0xD6E8FEB86659FD93], np.uint64)).sum(axis=1, dtype=np.uint64)
+    for k in range(step):
+        h += tables[k][sides[:, k]]
+    for j in range(step + 1):
+        at = np.flatnonzero((before >= step - j) & (after >= j))
+        order = at[np.argsort(h[at], kind="stable")]
+        near = h[order[1:]] == h[order[:-1]]
+        a, b = order[:-1][near], order[1:][near]
+        same = (keys[a] == keys[b]).all(axis=1) & (sides[a, j : j + step] == sides[b, j : j + step]).all(axis=1)
+        if same.all():
+            flags[a, j] = flags[b, j] = True
+        else:  # different strings of one hash
+            seen: dict[bytes, list[int]] = {}
+            for i in np.union1d(a, b).tolist():
+                seen.setdefault(keys[i].tobytes() + sides[i, j : j + step].tobytes(), []).append(i)
+            for members in seen.values():
+                if len(members) > 1:
+                    flags[members, j] = True
+        if j < step:
+            h += tables[j + step][sides[:, j + step]] - tables[j][sides[:, j]]
+    return flags
+
+
+class Inner:
+    """Decides regions of hot anchors, which come sorted by their inner strings, some whole groups at a time."""
+
+    def __init__(self, window: int, core: int) -> None:
+        self.window, self.step = window, -(-(window - core) // CUTS)
+        self.held: list[pa.RecordBatch] = []
+        self.size, self.limit = 0, BUFFER
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if batch.num_rows:
+            self.held.append(batch)
+            self.size += batch.num_rows
+
+    def full(self) -> bool:
+        return self.size >= self.limit
+
+    def decide(self, last: bool = False) -> tuple[np.ndarray, ...]:
+        """did, tid, lo, hi of the repeats in all groups, or in all but the one that may go on."""
+        batches, self.held, self.size = self.held, [], 0
+        if batches and not last:
+            group = batches[-1].column(0)[-1].as_py()
+            cuts = [int(np.searchsorted(b.column(0).to_numpy(), group)) for b in batches]
+            for b, cut in zip(batches, cuts, strict=True):
+                self.add(b.slice(cut))
+            batches = [b.slice(0, cut) for b, cut in zip(batches, cuts, strict=True) if cut]
+        self.limit = max(BUFFER, 2 * self.size)  # a long group is not searched for its end at every batch
+        if not batches:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
+        group, did, tid, place, lo, hi, cut = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(7))
+        decide = np.concatenate([b.column(8).to_numpy(zero_copy_only=False) for b in batches])
+        data = np.frombuffer(b"".join(x.as_py() for b in batches for x in b.column(7)), np.uint8).reshape(len(group), -1)
+        keys = np.stack([group.view(np.uint64), np.ascontiguousarray(data[:, :8]).view(np.uint64)[:, 0]], 1)
+        first = place - cut * self.step - self.step  # where window 0 starts
+        flags = shared_windows(keys, np.ascontiguousarray(data[:, 8:]), first + self.step - lo, hi - first - self.window)
+        flags &= decide[:, None]
+        edges = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (row, a), (_, b) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+        return did[row], tid[row], (first[row] + a).astype(np.int32), (first[row] + b - 1 + self.window).astype(np.int32)
+
+
 class Decider:
     """Collects groups of regions and decides them, about ``CHUNK`` bytes in one index."""
 
@@ -322,8 +400,8 @@ def repeats(rows: DataFrame, window: int, core: int, hot: int, chunk: int) -> Da
     step = -(-extra // CUTS)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["group", "did", "tid", "place", "lo", "data", "decide"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+        names = ["group", "did", "tid", "place", "lo", "hi", "cut", "data", "decide"]
+        types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.bool_()]
         open_text = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out: list[tuple] = []
@@ -337,43 +415,56 @@ def repeats(rows: DataFrame, window: int, core: int, hot: int, chunk: int) -> Da
                     seen.add((place, key))
                     if not x["hot"]:
                         lo = max(0, place - extra)
-                        out.append((key, did, tid, place, lo, text[lo : place + window], x["decide"]))
+                        out.append((key, did, tid, place, lo, place + window, -1, text[lo : place + window], x["decide"]))
                         continue
                     for c in range(CUTS):
-                        left, right = c * step, min(extra, (c + 1) * step)
-                        a, e = place - left, place - right + window
-                        if a < 0 or e > len(text):
+                        a, e = place - c * step, place - (c + 1) * step + window
+                        if a < 0 or e > len(text) or c * step > extra:
                             continue
-                        lo = max(0, place - right)
-                        group = xxhash.xxh3_64_intdigest(text[a:e], c + 1)
-                        out.append((group - (1 << 64) if group >> 63 else group, did, tid, place, lo, text[lo : place - left + window], x["decide"]))
+                        lo, hi = max(0, a - step), min(len(text), e + step)
+                        digest = xxhash.xxh3_128_digest(text[a:e], c + 1)
+                        sides = text[lo:a].rjust(step, b"\0") + text[e:hi].ljust(step, b"\0")
+                        out.append((int.from_bytes(digest[:8], "big", signed=True), did, tid, place, lo, hi, c, digest[8:] + sides, x["decide"]))
                 if len(out) > 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    dealt = fetched.mapInArrow(fetch, "group long, did long, tid long, place int, lo int, data binary, decide boolean")
+    dealt = fetched.mapInArrow(fetch, "group long, did long, tid long, place int, lo int, hi int, cut int, data binary, decide boolean")
     parts = shuffle_partitions(rows.sparkSession)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decider, group, now = Decider(window, core, chunk), [], None
+        decider, inner, group, size, now = Decider(window, core, chunk), Inner(window, core), [], 0, None
+
+        def result(columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["did", "tid", "lo", "hi"])
 
         def out() -> pa.RecordBatch:
             found = decider.decide()
-            columns = [[f[0][0] for f in found], [f[0][1] for f in found], [f[1] for f in found], [f[2] for f in found]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["did", "tid", "lo", "hi"])
+            return result([[f[0][0] for f in found], [f[0][1] for f in found], [f[1] for f in found], [f[2] for f in found]])
 
         for b in batches:
-            for key, did, tid, place, lo, data, flag in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            hot_rows = pc.greater_equal(b.column(6), 0)
+            inner.add(b.filter(hot_rows))
+            if inner.full():
+                yield result(inner.decide())
+            b = b.filter(pc.invert(hot_rows))
+            for key, did, tid, place, lo, data, flag in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 7, 8)), strict=True):
                 if key != now:
+                    if decider.size and decider.size + size > chunk:  # a large group gets an index of its own
+                        yield out()
                     decider.shared(group)
                     if decider.full():
                         yield out()
-                    group, now = [], key
+                    group, size, now = [], 0, key
                 group.append(((did, tid), place, lo, data, flag))
+                size += len(data)
+        if decider.size and decider.size + size > chunk:
+            yield out()
         decider.shared(group)
         yield out()
+        yield result(inner.decide(last=True))
 
     decided = dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(decide, "did long, tid long, lo int, hi int")
     return ranges.unionByName(decided)

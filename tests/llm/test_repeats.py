@@ -1,6 +1,6 @@
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -88,3 +88,25 @@ def test_production_width_and_edges(spark):
     got = sorted((tuple(r)[:4] for r in R.remove(df).collect()), key=str)
     assert got == sorted([(1, 401, 0, 0), (2, 401, 0, 0), (3, 402, 400, 1), (4, 402, 400, 1), (5, 0, 0, 0), (None, 0, 0, 0), (6, 900, 900, 1), (6, 900, 900, 1)], key=str)
     assert R.remove(df.limit(0)).count() == 0
+
+
+def test_suffix_order_of_a_long_array():
+    text = np.random.default_rng(1).integers(0, 3, (1 << 21) + 100)
+    text[-(1 << 12) :] = text[: 1 << 12]
+    order = R.suffix_order(text)
+    assert (np.bincount(order, minlength=len(text)) == 1).all()
+    codes = (text + 1).astype(np.uint8).tobytes()
+    pairs = zip(order[:-1].tolist(), order[1:].tolist())
+    assert all(codes[a : a + 5000] < codes[b : b + 5000] for a, b in pairs)
+
+
+def test_passage_of_many_documents_with_distinct_continuations(spark):
+    rng = random.Random(3)
+    passage = "".join(rng.choices("abcdefgh ", k=420))
+    texts = [f"{i % 97}{passage}{i * 7919 % 20_011:05d}" + "".join(rng.choices("xyz", k=40)) for i in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    times = Counter(hash(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
+    got = {r.doc_id: r.n_removed for r in R.remove(df).collect()}
+    for d, t in enumerate(texts):
+        twice = [i for i in range(len(t) - 399) if times[hash(t[i : i + 400])] > 1]
+        assert got[d] == len({x for i in (twice[0], twice[-1]) for x in range(i, i + 400)}), d
