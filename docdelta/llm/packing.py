@@ -26,6 +26,7 @@ from .vectors import summed
 WINDOW = 4096
 K1, B = 1.2, 0.75
 QUERY_TERMS = 16
+HEAD = 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -68,18 +69,38 @@ class ShardIndex:
         order = np.argsort(term, kind="stable")
         self.doc, self.weight, self.at = doc[order].astype(np.int32), weight[order], term[order]
         self.starts = np.searchsorted(self.at, np.arange(len(idf) + 1))
+        held = np.diff(self.starts)
+        self.wide = {}  # weights of frequent terms in all documents
+        for t in np.flatnonzero(8 * held > len(docs)).tolist():
+            a, b = self.starts[t], self.starts[t + 1]
+            self.wide[t] = np.zeros(len(docs))
+            self.wide[t][self.doc[a:b]] = self.weight[a:b]
 
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all documents of the shard against the seed's rarest terms."""
+    def scores(self, seed: int, most: int | None = QUERY_TERMS) -> np.ndarray:
+        """BM25 of all documents of the shard against the seed's ``most`` rarest terms (None: all its terms)."""
         terms = self.terms[seed]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.lexsort((terms, -self.idf[terms]))[:QUERY_TERMS]]
+        if most is not None and len(terms) > most:
+            terms = terms[np.lexsort((terms, -self.idf[terms]))[:most]]
         out = np.zeros(len(self.terms))
         for t in terms.tolist():
-            a, b = self.starts[t], self.starts[t + 1]
-            out[self.doc[a:b]] += self.weight[a:b]
+            if t in self.wide:
+                out += self.wide[t]
+            else:
+                a, b = self.starts[t], self.starts[t + 1]
+                out[self.doc[a:b]] += self.weight[a:b]
         return out
 
+    def ranked(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """The unused documents that share a term with the seed, from best to worst; the first ones are sorted alone."""
+        scores = self.scores(seed, None)
+        scores[used] = 0
+        if len(scores) > HEAD and (least := np.partition(scores, -HEAD)[-HEAD]) > 0:
+            head = np.flatnonzero(scores >= least)
+            yield from head[np.argsort(-scores[head], kind="stable")].tolist()
+            scores[head] = 0
+        order = np.argsort(-scores, kind="stable")
+        yield from order[: np.count_nonzero(scores)].tolist()
+
 
 def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """The pieces in turn, as sequences of the powers of two that their sum consists of."""
@@ -138,16 +159,9 @@ def fill(lengths: list[int], neighbours, window: int = WINDOW) -> list[list[tupl
 def pack_shard(shard: int, doc_ids: list, ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> dict[str, list]:
     """The pieces of one shard. Documents are taken in the order given."""
     index = ShardIndex(ids, idf, mean)
-
-    def neighbours(seed: int, used: np.ndarray):
-        scores = index.scores(seed)
-        scores[used] = 0
-        order = np.argsort(-scores, kind="stable")
-        return order[: np.count_nonzero(scores)].tolist()
-
     out: dict[str, list] = {k.split()[0]: [] for k in PIECES.split(", ")}
     wide = [np.ascontiguousarray(x, "<u4") for x in ids]
-    for k, sequence in enumerate(fill([len(x) for x in ids], neighbours, window)):
+    for k, sequence in enumerate(fill([len(x) for x in ids], index.ranked, window)):
         offset = 0
         for doc, start, length in sequence:
             row = (doc_ids[doc], start, length, zlib.crc32(wide[doc][start : start + length]), len(ids[doc]), (shard << 32) + k, offset)

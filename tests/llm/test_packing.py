@@ -3,7 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from docdelta.llm.packing import ShardIndex, fill, pack
+from docdelta.llm.packing import ShardIndex, fill, pack, pack_shard
 from docdelta.llm.tokens import END, default_path, encoder
 
 
@@ -66,3 +66,24 @@ def test_scores_and_neighbours():
         assert np.allclose(index.scores(seed), want)
     sequences = fill([10, 10, 10, 10], lambda seed, used: [3, 2, 1, 0], 20)
     assert sequences == [[(0, 0, 10), (3, 0, 10)], [(1, 0, 10), (2, 0, 10)]] or sequences[0] == [(0, 0, 10), (3, 0, 10)]
+
+
+def test_all_terms_of_a_seed_rank():
+    seed = np.arange(40, dtype="<u2")  # ids 0 to 19 are rarest and its own
+    others = [np.arange(100 + 10 * i, 110 + 10 * i, dtype="<u2") for i in range(5)]
+    close, closer = np.r_[seed[35:], others[0]].astype("<u2"), np.r_[seed[20:], others[1]].astype("<u2")
+    idf = np.r_[np.full(20, 9.0), np.ones(180)]
+    rows = pack_shard(0, list(range(8)), [seed, *others, close, closer], idf, 20.0, 85)
+    assert [d for d, s in zip(rows["doc_id"], rows["sequence_id"]) if s == 0] == [0, 7, 6]
+
+
+def test_ranked_is_a_stable_sort():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 50, rng.integers(1, 9)).astype("<u2") for _ in range(300)]
+    index = ShardIndex(docs, rng.integers(1, 3, 60).astype(float), 5.0)
+    used = rng.random(300) < 0.3
+    for seed in range(20):
+        scores = np.where(used, 0, index.scores(seed, None))
+        assert list(index.ranked(seed, used)) == [i for i in np.argsort(-scores, kind="stable").tolist() if scores[i] > 0]
+        want = sum(np.where([t in d for d in docs], [index.weight[index.starts[t] : index.starts[t + 1]][index.doc[index.starts[t] : index.starts[t + 1]] == i].sum() for i in range(300)], 0) for t in set(docs[seed].tolist()))
+        assert np.allclose(index.scores(seed, None), want)
