@@ -1,7 +1,8 @@
 """Lexical retrieval packing of whole documents into training sequences.
 
-Documents become token ids once. They are dealt by a hash into shards of
-bounded size; each shard holds a BM25 inverted index over its documents' token
+Documents become token ids once. They are dealt into shards of bounded size by
+a tree of cuts through their weighted terms (in a random projection), so that
+lexical neighbours mostly meet; each shard holds a BM25 inverted index over its documents' token
 ids, with document frequencies and the mean length counted over all documents.
 A seed document opens a window; the index returns its best unused neighbours,
 which fill the window greedily. A document that doesn't fit is cut and its rest
@@ -27,6 +28,8 @@ WINDOW = 4096
 K1, B = 1.2, 0.75
 QUERY_TERMS = 16
 HEAD = 64
+DIM = 64
+SAMPLE = 1 << 16
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -102,6 +105,88 @@ class ShardIndex:
         yield from order[: np.count_nonzero(scores)].tolist()
 
 
+def term_vectors(docs: list[np.ndarray], idf: np.ndarray, mean: float, plane: np.ndarray) -> np.ndarray:
+    """Unit vectors of documents: their BM25 term weights through a random projection."""
+    out = np.zeros((len(docs), plane.shape[1]), np.float32)
+    for row, d in zip(out, docs, strict=True):
+        terms, tf = np.unique(d, return_counts=True)
+        weight = idf[terms] * tf / (tf + K1 * (1 - B + B * len(d) / mean))
+        row[:] = weight.astype(np.float32) @ plane[terms]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class Tree:
+    """Cuts across the widest direction of a sample, to ``shards`` leaves of like weight.
+
+    A leaf that equal documents make too heavy is dealt on over several shards.
+    """
+
+    def __init__(self, vectors: np.ndarray, weights: np.ndarray, shards: int) -> None:
+        self.directions, self.cuts, self.children, heavy = [], [], [], []
+        fair = max(weights.sum() / shards, 1e-9)
+
+        def grow(rows: np.ndarray, k: int) -> int:
+            if k == 1 or len(rows) < 2:
+                heavy.append(max(1, round(weights[rows].sum() / fair)))
+                return -len(heavy)
+            v = vectors[rows].astype(np.float64)
+            direction = np.linalg.eigh(np.cov(v.T))[1][:, -1].astype(np.float32)
+            along = np.einsum("ij,j->i", vectors[rows], direction)
+            order = np.argsort(along, kind="stable")
+            total = np.cumsum(weights[rows][order])
+            cut = along[order[min(np.searchsorted(total, total[-1] * (k // 2) / k), len(rows) - 1)]]
+            node = len(self.cuts)
+            self.directions.append(direction)
+            self.cuts.append(cut)
+            self.children.append([0, 0])
+            self.children[node] = [grow(rows[along <= cut], k // 2), grow(rows[along > cut], k - k // 2)]
+            return node
+
+        self.root = grow(np.arange(len(vectors)), shards)
+        self.directions, self.cuts, self.children = np.array(self.directions), np.array(self.cuts), np.array(self.children)
+        self.shards = np.array(heavy)
+        self.first = np.cumsum(self.shards) - self.shards
+
+    def shard(self, vectors: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        node = np.full(len(vectors), self.root)
+        while len(at := np.flatnonzero(node >= 0)):
+            along = np.einsum("ij,ij->i", vectors[at], self.directions[node[at]])
+            node[at] = self.children[node[at], (along > self.cuts[node[at]]).astype(int)]
+        leaf = -node - 1
+        return self.first[leaf] + (hashes % self.shards[leaf].astype(np.uint64)).astype(np.int64)
+
+
+def dealt_by_terms(tokens: DataFrame, docs: int, shards: int, idf, mean: float, dtype: np.dtype) -> DataFrame:
+    """(shard, doc_id, ids): the token table with the shard of each document."""
+    size = len(idf.value)
+
+    def plane() -> np.ndarray:
+        return np.random.default_rng(0).standard_normal((size, DIM), np.float32)
+
+    def vectors(batch: pa.RecordBatch, plane: np.ndarray) -> np.ndarray:
+        return term_vectors([np.frombuffer(x.as_py(), dtype) for x in batch.column("ids")], idf.value, mean, plane)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = plane()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([v.tobytes() for v in vectors(b, p)], pa.binary())], ["n", "vector"])
+
+    share = min(1.0, SAMPLE / docs)
+    sample = tokens.where(F.pmod(F.xxhash64("ids", "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else tokens
+    rows = sample.select("ids", "n").mapInArrow(sampled, "n long, vector binary").collect()
+    rows = sorted((bytes(r.vector), r.n) for r in rows)  # the same tree whatever the order of rows
+    found = np.frombuffer(b"".join(v for v, _ in rows), np.float32).reshape(-1, DIM)
+    tree = tokens.sparkSession.sparkContext.broadcast(Tree(found, np.array([n for _, n in rows], float), shards))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = plane()
+        for b in batches:
+            shard = tree.value.shard(vectors(b, p), b.column("hash").to_numpy().view(np.uint64) >> np.uint64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), b.column("doc_id"), b.column("ids")], ["shard", "doc_id", "ids"])
+
+    return tokens.select(F.xxhash64("doc_id", "ids").alias("hash"), "doc_id", "ids").mapInArrow(deal, "shard long, doc_id long, ids binary")
+
+
 def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """The pieces in turn, as sequences of the powers of two that their sum consists of."""
     rest = sum(p[2] for p in pieces)
@@ -207,5 +292,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
         packed = pack_shard(shard, [doc_ids[i] for i in order], [ids[i] for i in order], idf.value, mean, window)
         return pa.table({k: pa.array(v, pa.int64()) for k, v in packed.items()})
 
-    dealt = tokens.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"), "doc_id", "ids")
+    if shards > 1:
+        dealt = dealt_by_terms(tokens, total["docs"], shards, idf, mean, dtype)
+    else:
+        dealt = tokens.select(F.lit(0).cast("long").alias("shard"), "doc_id", "ids")
     return dealt.groupBy("shard").applyInArrow(work, PIECES)

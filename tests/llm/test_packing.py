@@ -87,3 +87,19 @@ def test_ranked_is_a_stable_sort():
         assert list(index.ranked(seed, used)) == [i for i in np.argsort(-scores, kind="stable").tolist() if scores[i] > 0]
         want = sum(np.where([t in d for d in docs], [index.weight[index.starts[t] : index.starts[t + 1]][index.doc[index.starts[t] : index.starts[t + 1]] == i].sum() for i in range(300)], 0) for t in set(docs[seed].tolist()))
         assert np.allclose(index.scores(seed, None), want)
+
+
+def test_lexical_neighbours_meet_in_a_shard(spark):
+    rng = random.Random(6)
+    topics = [[f"{a}{b}{c}" for a in rng.sample("bdfgklmnprst", 3) for b in "aeiou" for c in rng.sample("bdfgklmnprst", 2)] for _ in range(8)]
+    texts = [" ".join(rng.choices(topics[i % 8], k=150)) for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shards = defaultdict(list)
+    for r in pack(df, shard_tokens=20_000).select("doc_id", "sequence_id").distinct().collect():
+        shards[r.sequence_id >> 32].append(r.doc_id % 8)
+    assert len(shards) >= 4
+    pairs = [a == b for s in shards.values() for i, a in enumerate(s) for b in s[:i]]
+    assert sum(pairs) > 0.3 * len(pairs)  # one in eight by chance
+    same = spark.createDataFrame([(i, texts[0]) for i in range(400)], "doc_id long, text string")
+    rows = pack(same, shard_tokens=20_000).collect()
+    assert len({r.doc_id for r in rows}) == 400 and len({r.sequence_id >> 32 for r in rows}) >= 4
