@@ -25,6 +25,8 @@ from .components import components
 
 SEED = 42
 BLOCK = 1 << 16
+BANDS, ROWS = 20, 5
+SMALL = 8
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -110,17 +112,105 @@ def ball_links(fps: DataFrame, distance: int = 2) -> DataFrame:
     return variants.repartition(parts, "variant").mapInArrow(work, "u long, v long").distinct()
 
 
-def simhash_components(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the ``width``-word shingles of lower-cased (A-Z) UTF-8 text (fewer words: of all of them)."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    return np.unique(np.fromiter(map(partial(xxhash.xxh3_64_intdigest, seed=SEED), shingles), np.uint64, len(shingles)))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHashes; sets of Jaccard similarity s agree in one with probability 1 - (1 - s ** 5) ** 20."""
+    a, b = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(shingles), 4096):
+        mixed = shingles[at : at + 4096] * (a * np.uint64(2) + np.uint64(1)) + b
+        least = np.minimum(least, mixed.min(axis=1))
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """Links (u, v) between the fingerprints of texts whose ``width``-word shingles have Jaccard similarity ``similarity`` or more.
+
+    Candidates share a band of MinHashes (at 0.8 with probability 0.9996) and
+    are verified on all shingles. In a band of over ``SMALL`` texts each is tried
+    against the least and the ``SMALL`` before it, so no group is expanded into all pairs.
+    """
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), F.col("text").cast("binary").alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, width) for t in text_bytes(b.column(1))]
+            keys = pa.array([band_keys(x).view(np.int64) if len(x) else None for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), keys], ["tid", "keys"])
+
+    sketches = texts.mapInArrow(sketch, "tid long, keys array<long>").where("keys is not null").groupBy("tid").agg(F.first("keys").alias("keys"))
+    sketches = materialize(sketches, "sketches")
+    parts = max(shuffle_partitions(docs.sparkSession), -(-sketches.count() * BANDS // 2_000_000))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not kept:
+            return
+        key, tid = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+        order = np.lexsort((tid, key))
+        key, tid = key[order], tid[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first = np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+        at = np.arange(len(key))
+        u, v = [tid[at > first]], [tid[first[at > first]]]
+        for k in range(1, SMALL + 1):
+            m = at - k > first
+            u.append(tid[m])
+            v.append(tid[at[m] - k])
+        found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
+
+    keys = sketches.select(F.explode("keys").alias("key"), "tid").repartition(parts, "key")
+    candidates = materialize(keys.mapInArrow(pairs, "u long, v long").distinct(), "candidates")
+    wanted = candidates.select(F.col("u").alias("tid")).union(candidates.select(F.col("v").alias("tid"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = list(text_bytes(b.column(1)))
+            fps = np.fromiter(map(fingerprint, held), np.uint64, len(held)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([shingle_set(t, width).tobytes() for t in held], pa.binary())], ["tid", "fp", "shingles"])
+
+    known = texts.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    known = materialize(known.mapInArrow(sets, "tid long, fp long, shingles binary"), "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    left = known.select(F.col("tid").alias("u"), F.col("fp").alias("fu"), F.col("shingles").alias("su"))
+    right = known.select(F.col("tid").alias("v"), F.col("fp").alias("fv"), F.col("shingles").alias("sv"))
+    joined = candidates.join(left, "u").join(right, "v").where("fu <> fv").select("fu", "fv", "su", "sv")
+    return joined.mapInArrow(verify, "u long, v long").distinct()
+
+
+def simhash_components(docs: DataFrame, distance: int = 2, width: int = 3, links: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     Defined cases: null or empty text, or text of white space only: fingerprint
     zero, linked like any other. Repeated rows: one result row each. Null
     doc_id: kept, never a component_id unless nothing else is reachable (then
-    null). Empty table: empty result. Other columns are ignored.
+    null). Empty table: empty result. Other columns are ignored. ``links``
+    are further links (u, v) between fingerprints.
     """
     fps = materialize(fingerprints(docs, width=width), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(ball_links(classes.select("fp"), distance))
+    near = ball_links(classes.select("fp"), distance)
+    roots = components(near if links is None else near.unionByName(links))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
@@ -134,6 +224,8 @@ def simhash_components(docs: DataFrame, distance: int = 2, width: int = 3) -> Da
 def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     """The documents that remain when one of each near-duplicate group stays.
 
+    Near duplicates have SimHashes at most ``distance`` bits apart, or five-word
+    shingles of Jaccard similarity 0.8 or more (``similar_links``), or are joined by others.
     The row of the least doc_id (and then the least hash of its text) stays;
     repeated rows count as near duplicates of each other. Rows with a null
     doc_id stay. Only (doc_id, hash) pairs are grouped; texts are read once
@@ -142,7 +234,7 @@ def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     known = keyed.where("doc_id is not null")
     ids = known.select("doc_id", "_h").groupBy("doc_id").agg(F.min("_h").alias("_h"), F.count("*").alias("n"))
-    chosen = materialize(simhash_components(known, distance).select(F.col("component_id").alias("doc_id")).distinct().join(ids, "doc_id"), "chosen")
+    chosen = materialize(simhash_components(known, distance, links=similar_links(known)).select(F.col("component_id").alias("doc_id")).distinct().join(ids, "doc_id"), "chosen")
     kept = keyed.join(chosen.select("doc_id", "_h"), ["doc_id", "_h"], "left_semi")
     if not chosen.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_h"])

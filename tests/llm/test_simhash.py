@@ -1,7 +1,7 @@
 import random
 
 import xxhash
-from docdelta.llm.simhash import ball_links, fingerprint, keep_one, simhash_components
+from docdelta.llm.simhash import ball_links, fingerprint, jaccard, keep_one, shingle_set, simhash_components
 
 
 def brute(texts):
@@ -63,3 +63,27 @@ def test_edges(spark):
     assert got == [(3, 3), (3, 3), (7, 7), (None, 3)]
     assert sorted((r.doc_id for r in keep_one(rows).collect()), key=str) == [3, 7, None]
     assert fingerprint(b"word " * 200_000) == fingerprint(b"word word word word")
+
+
+def test_keep_one_reaches_similarity(spark):
+    rng = random.Random(9)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(words)
+        changed = list(words)
+        for at in rng.sample(range(5, 195), 4):  # about 0.82 where the shingles don't overlap
+            changed[at] = f"new{at}"
+        texts.append(changed if i % 2 else words[:100] + changed[:100])
+    texts = [" ".join(w) for w in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in keep_one(df).collect()}
+    sets = [shingle_set(t.encode()) for t in texts]
+    wide = 0
+    for i in range(0, 120, 2):
+        assert i in kept
+        s = jaccard(sets[i], sets[i + 1])
+        far = (fingerprint(texts[i].encode()) ^ fingerprint(texts[i + 1].encode())).bit_count() > 2
+        assert (i + 1 in kept) == (s < 0.8 and far)
+        wide += s >= 0.8 and far
+    assert wide > 20
