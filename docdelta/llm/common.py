@@ -2,53 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docdelta.sources.tables import drop, new_folder, written
+
+__all__ = ["drop_materialized", "fresh", "materialize", "new_folder", "remainder", "shuffle_partitions", "table", "text_bytes"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, read by Spark alone (any file system will do)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    It is only set here where the session has none (tests and local runs).
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docdelta-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage durably: a lost executor costs no recomputation of
-    what lies before it, and the files can be read from any machine.
+    what lies before it, and the files can be read from any machine. They go
+    when ``drop_materialized`` is called, or when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docdelta/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, what)
 
 
 def drop_materialized(df: DataFrame) -> None:
     """Remove the files of a table that ``materialize`` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(df)
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Names for helper columns that clash with none of ``columns`` (case aside)."""
+    held = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
