@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, text_bytes
+from .common import fresh, materialize, shuffle_partitions, text_bytes
 from .components import components
 
 SEED = 42
@@ -227,15 +227,22 @@ def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     Near duplicates have SimHashes at most ``distance`` bits apart, or five-word
     shingles of Jaccard similarity 0.8 or more (``similar_links``), or are joined by others.
     The row of the least doc_id (and then the least hash of its text) stays;
-    repeated rows count as near duplicates of each other. Rows with a null
-    doc_id stay. Only (doc_id, hash) pairs are grouped; texts are read once
-    for the fingerprints and once for the result.
+    only (doc_id, hash) pairs are grouped.
+
+    Defined cases: null, empty and wordless texts have fingerprint zero and are
+    near duplicates of each other. Repeated rows count as near duplicates of
+    each other; of rows of one doc_id with different texts the one named above
+    stays, if any does. Rows with a null doc_id stay. A text may have any
+    length. Empty table: empty result. All columns return, whatever their names.
     """
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    known = keyed.where("doc_id is not null")
-    ids = known.select("doc_id", "_h").groupBy("doc_id").agg(F.min("_h").alias("_h"), F.count("*").alias("n"))
-    chosen = materialize(simhash_components(known, distance, links=similar_links(known)).select(F.col("component_id").alias("doc_id")).distinct().join(ids, "doc_id"), "chosen")
-    kept = keyed.join(chosen.select("doc_id", "_h"), ["doc_id", "_h"], "left_semi")
+    (h,) = fresh(docs.columns, "text_hash")
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    known = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(h).alias("h"))
+    ids = known.select("doc_id", "h").groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("n"))
+    linked = simhash_components(known, distance, links=similar_links(known)).select(F.col("component_id").alias("doc_id")).distinct()
+    chosen = materialize(linked.join(ids, "doc_id"), "chosen")
+    kept = keyed.join(chosen.select("doc_id", F.col("h").alias(h)), ["doc_id", h], "left_semi")
     if not chosen.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_h"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        kept = kept.dropDuplicates(["doc_id", h])
+    back = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*back).unionByName(docs.where("doc_id is null"))
