@@ -12,6 +12,7 @@ the steps taken so far, so nothing but the steps is ever kept.
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_bytes
+from .common import fresh, materialize, text_bytes
 
 DOMAINS = ("good", "poor", "toxic")
 #: Production targets: shares of the expected tokens.
@@ -108,7 +109,11 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Classifier:
-    """A classifier from at most ``sample`` labelled documents, drawn by a hash of doc_id."""
+    """A classifier from at most ``sample`` labelled documents, drawn by a hash of doc_id.
+
+    A doc_id that several documents have teaches once (by the least of their
+    features), so what reaches the driver is bounded by the drawn labels.
+    """
     named = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null and doc_id is not null")
     named = named.groupBy("doc_id").agg(F.min("domain").alias("domain"))
     n = named.count()
@@ -124,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Classifier:
             )
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(drawn, "doc_id").select("doc_id", "domain", "text")
-    rows = joined.mapInArrow(work, "doc_id long, domain string, ids binary, shapes binary").collect()
+    found = joined.mapInArrow(work, "doc_id long, domain string, ids binary, shapes binary")
+    rows = found.groupBy("doc_id", "domain").agg(F.min(F.struct("ids", "shapes")).alias("f")).select("doc_id", "domain", "f.*").collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), bytes(r["ids"])))[:sample]
     found = [(np.frombuffer(r["ids"], "<u2").astype(np.int64), np.frombuffer(r["shapes"], np.float64), 0) for r in rows]
     return fit_classifier(found, np.array([DOMAINS.index(r["domain"]) for r in rows], np.int64), DOMAINS)
@@ -154,20 +160,20 @@ def rate(p: Column, steps: list[np.ndarray]) -> Column:
     return F.aggregate(table, out, lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, rounds: int = 60, tolerance: float = 1e-9) -> list[np.ndarray]:
-    """Steps that bring the shares of expected tokens of ``rows`` (n_tokens, p) to ``targets``.
+def fit_rates(rows: DataFrame, targets: np.ndarray, rounds: int = 60, tolerance: float = 1e-9) -> tuple[list[np.ndarray], float]:
+    """Steps that bring the shares of expected tokens of ``rows`` (n_tokens, p) to ``targets``, and the largest miss left.
 
     Shares are of the tokens there are, so matched targets also keep their
     number. Each step is a projected gradient step on half the squared miss,
     scaled by the inverse second moments of the documents with a rate; it is
     halved until the miss falls. Where no rates meet the targets, such steps
     come to a halt and plain gradient steps approach the least miss for the
-    rounds that are left.
+    rounds that are left. Without tokens no target can be met: no step, and all of the largest target is missed.
     """
     K = len(targets)
     total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     if not total:
-        return []
+        return [], float(np.max(targets))
     pairs = [(i, j) for i in range(K) for j in range(i, K)]
 
     def measure(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,14 +202,16 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, rounds: int = 60, tolerance:
             length, scaled = 1.0, False
         else:
             break
-    return steps
+    return steps, float(np.abs(shares - targets).max())
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000, seed: int = 17) -> DataFrame:
-    """doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies of every row (and rid, the row's number).
+    """doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies, miss of every row (and rid, the row's number).
 
     ``copies`` rounds the rate up or down by a hash of doc_id, so its
-    expectation is the rate. Defined cases: a null or empty text has no tokens,
+    expectation is the rate. ``miss`` is the largest distance of a domain's
+    share from its target over all rows: above the fit's tolerance no
+    nonnegative rates were found that meet the targets. Defined cases: a null or empty text has no tokens,
     the posteriors of an empty text and so some rate that weighs nothing. A
     label with a null key or null values teaches nothing; of several labels of
     one document the first domain by name counts. Without labels all
@@ -212,17 +220,23 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     wanted = np.array([(targets or TARGETS).get(d, 0.0) for d in DOMAINS])
     rows = materialize(posteriors(docs, train(docs, labels, sample)), "posteriors")
-    steps = fit_rates(rows.select("n_tokens", "p"), wanted / wanted.sum())
+    steps, miss = fit_rates(rows.select("n_tokens", "p"), wanted / wanted.sum())
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("rate", rate(F.col("p"), steps)).select(
-        "rid", "doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + uniform).cast("int").alias("copies")
+        "rid", "doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + uniform).cast("int").alias("copies"), F.lit(miss).alias("miss")
     )
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000, seed: int = 17) -> DataFrame:
-    """The documents as often as their ``copies`` say, with the columns of ``docs``.
+def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000, seed: int = 17, tolerance: float = 1e-3) -> DataFrame:
+    """The documents as often as their ``copies`` (see ``mix``) say, with the columns of ``docs``.
 
     The posteriors are written beside the rows, so texts are classified once and not joined.
+    A miss of the targets beyond ``tolerance`` is warned of.
+
+    Defined cases: nulls, empty and long texts, labels and repeated rows as in
+    ``mix``; repeated rows and rows with a null doc_id are rounded alike, as
+    their hashes agree. Without labels all rows have one rate. Empty table:
+    empty result. All columns return, whatever their names.
     """
     wanted = np.array([(targets or TARGETS).get(d, 0.0) for d in DOMAINS])
     names = docs.columns
@@ -234,11 +248,14 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
             found = [features(t) for t in text_bytes(batch.column(place))]
             p = [handle.value.posteriors(f[0], f[1]).tolist() for f in found]
             extra = [pa.array([f[2] for f in found], pa.int64()), pa.array(p, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *extra], [*names, "_n_tokens", "_p"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *extra], [*names, n_tokens, p_of])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))])
+    n_tokens, p_of, copies, copy = fresh(names, "n_tokens", "p", "copies", "copy")
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_tokens, T.LongType()), T.StructField(p_of, T.ArrayType(T.DoubleType()))])
     rows = materialize(docs.mapInArrow(work, schema), "posteriors")
-    steps = fit_rates(rows.select(F.col("_n_tokens").alias("n_tokens"), F.col("_p").alias("p")), wanted / wanted.sum())
+    steps, miss = fit_rates(rows.select(F.col(n_tokens).alias("n_tokens"), F.col(p_of).alias("p")), wanted / wanted.sum())
+    if miss > tolerance:
+        warnings.warn(f"no rates found that meet the target weights: a domain's share is {miss:.4f} off", stacklevel=2)
     uniform = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor(rate(F.col("_p"), steps) + uniform).cast("int")
-    return rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*names)
+    rows = rows.withColumn(copies, F.floor(rate(F.col(p_of), steps) + uniform).cast("int")).where(F.col(copies) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in names])

@@ -37,7 +37,7 @@ def test_rates_meet_targets(spark, targets):
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
     n = rng.integers(0, 100, 200)
     df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
-    steps = M.fit_rates(df, np.array(targets))
+    steps, left = M.fit_rates(df, np.array(targets))
     r = np.array([x[0] for x in df.select(M.rate(F.col("p"), steps)).collect()])
     miss = lambda r: np.square((n / n.sum() * r) @ p - targets).sum()
     plain = miss(brute_rates(n.astype(float), p, np.array(targets)))
