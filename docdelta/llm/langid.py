@@ -121,24 +121,25 @@ class ByteCNN:
                 self.p[k] -= (rate * (1 - t / (steps + 1)) * step).astype(np.float32)
 
 
-def train(docs: DataFrame, per_lang: int = 400, seed: int = 7) -> ByteCNN | None:
+def train(docs: DataFrame, per_lang: int = 400, seed: int = 7, pieces: int = 4, most: int = 512) -> ByteCNN | None:
     """A network from at most ``per_lang`` rows of each language of ``docs`` (doc_id, text, lang).
 
     The rows are drawn by a hash of doc_id, so the sample doesn't depend on the
-    order of rows; of each drawn text, up to four windows at hashed places are
-    learned from. None if no row has both a text and a language.
+    order of rows; of each drawn text, up to ``pieces`` windows at hashed
+    places are learned from. Of more than ``most`` languages the most frequent
+    are learned. None if no row has both a text and a language.
     """
     labelled = docs.where("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h")
     )
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.3 * per_lang + 20) / n))])
     uniform = (F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
     text = F.col("text")
     piece = lambda k: F.substring(text, (F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length(text) - LENGTH, F.lit(1))) + 1).cast("int"), F.lit(LENGTH))
-    drawn = labelled.where(uniform < share[F.col("lang")]).select("lang", "h", F.array(*[piece(k) for k in range(4)]).alias("pieces"))
+    drawn = labelled.where(uniform < share[F.col("lang")]).select("lang", "h", F.array(*[piece(k) for k in range(pieces)]).alias("pieces"))
     by_lang: dict[str, list] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["pieces"])):
         kept = by_lang.setdefault(r["lang"], [])
@@ -147,10 +148,10 @@ def train(docs: DataFrame, per_lang: int = 400, seed: int = 7) -> ByteCNN | None
     classes = sorted(by_lang)
     rows, target = [], []
     for c, lang in enumerate(classes):
-        for pieces in by_lang[lang]:
-            for piece in sorted(set(pieces)):
-                if LETTER.search(piece):
-                    rows.append(windows(piece.encode()[:LENGTH])[0][0])
+        for drawn_pieces in by_lang[lang]:
+            for text in sorted(set(drawn_pieces)):
+                if LETTER.search(text):
+                    rows.append(windows(text.encode()[:LENGTH])[0][0])
                     target.append(c)
     if not rows:
         return None
@@ -237,7 +238,11 @@ def language_id(docs: DataFrame, folds: int = 5, per_lang: int = 400) -> DataFra
 def accept(docs: DataFrame, least: float = 0.4, folds: int = 5) -> DataFrame:
     """The documents with an identified language (posterior of at least ``least``).
 
-    All columns return; a null lang becomes the predicted one.
+    Defined cases: a null text or one without a letter has no language and
+    goes; so does every row if nothing can be learned. A null lang becomes the
+    predicted one, any other (the empty string, too) stays. Rows with a null
+    doc_id and repeated rows are judged by their texts like all others. Empty
+    table: empty result. All columns return, whatever their names.
     """
     net = train(docs.select("doc_id", "text", "lang").where(remainder("doc_id", folds) != 0))
     names = docs.columns
@@ -249,7 +254,7 @@ def accept(docs: DataFrame, least: float = 0.4, folds: int = 5) -> DataFrame:
         for batch in batches:
             langs, scores = predict(batch.column(place).to_pylist())
             good = np.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], bool)
-            lang = [a or b for a, b in zip(batch.column(names.index("lang")).to_pylist(), langs, strict=True)]
+            lang = [b if a is None else a for a, b in zip(batch.column(names.index("lang")).to_pylist(), langs, strict=True)]
             columns = [pa.array(lang, pa.string()) if c == "lang" else batch.column(i) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(good))
 
