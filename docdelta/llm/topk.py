@@ -5,10 +5,14 @@ gives all of them the same norm R, so that distance and inner product order
 alike: d(q, x)^2 = |q|^2 + R^2 - 2 q.x. Each vector is keyed by its nearest
 pivot and its distance to it. A query first searches the block where it lies
 itself, which bounds its k-th score from below and so its search radius.
-Every pivot whose annuli lie farther off by the triangle inequality is
-skipped; in the others the annulus around the query's own pivot distance is
-expanded outwards and stops at the radius. Pivots are fitted on a bounded
-sample; the answer is exact whatever they are.
+A pivot's rows are cut into blocks by ranges of that distance, and a query
+visits only the blocks that the annulus of its radius meets, by the triangle
+inequality. In a block the annulus around the query's own pivot distance is
+expanded outwards and stops at the radius. Pivots and ranges are fitted on
+bounded summaries; the answer is exact whatever they are.
+
+Rows of equal vectors can't be told apart by distance. Where they crowd a
+range, only the k + 1 that any query can have among its best are indexed.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ PIVOTS = 32
 SAMPLE = 4096
 BLOCK = 8192
 QUERIES = 65536
+RANGES = 4096
 SLACK = 1e-9
 
 
@@ -172,12 +177,48 @@ def top_k(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "emb
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(v)), own]), packed], ["rid", "vec_id", "pivot", "r", "v"])
 
     keyed = materialize(rows.mapInArrow(key, "rid long, vec_id long, pivot int, r double, v binary"), "keyed")
-    summary = {s["pivot"]: s for s in keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
-    parts = {p: -(-s["n"] // block) for p, s in summary.items()}
-    salts = F.element_at(F.create_map(*[F.lit(x) for item in parts.items() for x in item]), F.col("pivot"))
-    salt = F.pmod(F.xxhash64("rid"), salts).cast("int")
-    index = keyed.withColumn("salt", salt)
+    sizes = {s["pivot"]: s["n"] for s in keyed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
+    most = min(RANGES, max(-(-s // block) for s in sizes.values()))
+    borders: dict[int, np.ndarray] = {p: np.zeros(0) for p in sizes}
+    if most > 1:
+        grid = keyed.groupBy("pivot").agg(F.percentile_approx("r", F.array(*[F.lit(i / most) for i in range(1, most)]), F.lit(4 * most)).alias("b")).collect()
+        for s in grid:  # a smaller pivot takes every so many of the grid's borders
+            wanted = min(most, -(-sizes[s["pivot"]] // block))
+            borders[s["pivot"]] = np.unique(np.array(s["b"])[[round(i * most / wanted) - 1 for i in range(1, wanted)]])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pivot, r = b.column(2).to_numpy(), b.column(3).to_numpy()
+            found = np.zeros(len(r), np.int32)
+            for p in np.unique(pivot).tolist():
+                found[pivot == p] = np.searchsorted(borders[p], r[pivot == p], side="left")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], [*b.schema.names, "range"])
+
+    fields = "rid long, vec_id long, pivot int, r double, v binary"
+    index = keyed.mapInArrow(place, f"{fields}, range int")
     asking = index.where(queries)
+    spot = F.struct("pivot", "range")
+
+    def summed_up(df: DataFrame) -> dict:
+        rows = df.groupBy("pivot", "range").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()
+        return {(x["pivot"], x["range"]): x for x in rows}
+
+    summary = summed_up(index)
+    crowded = [s for s, x in summary.items() if x["n"] > 2 * block]
+    if crowded:
+        full = spot.isin(*[F.struct(F.lit(p).alias("pivot"), F.lit(s).alias("range")) for p, s in crowded])
+        copy = F.row_number().over(Window.partitionBy("v").orderBy(F.coalesce("vec_id", F.lit(LAST)), "rid"))
+        thin = index.where(full).withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
+        index = materialize(index.where(~full).unionByName(thin), "index")
+        summary = summed_up(index)
+    # What no border parts (the grid is bounded, and distances tie) is dealt over blocks that are all visited.
+    parts = {s: -(-x["n"] // block) if x["n"] > 2 * block else 1 for s, x in summary.items()}
+    split = {s: n for s, n in parts.items() if n > 1}
+    salts = F.lit(1)
+    if split:
+        salts = F.coalesce(F.try_element_at(F.create_map(*[y for (p, s), n in split.items() for y in (F.lit(p * RANGES + s), F.lit(n))]), F.col("pivot") * RANGES + F.col("range")), F.lit(1))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int"))
+    index, asking = salted(index), salted(asking)
     chunks = max(1, -(-asking.count() // QUERIES))
     asking = asking.withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(chunks)).cast("int"))
 
@@ -197,19 +238,22 @@ def top_k(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "emb
 
     def home(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"rid": pa.array([], pa.int64()), "tau": pa.array([], pa.float64())})
+            return pa.table({"rid": left.column("rid"), "tau": pa.array(np.full(left.num_rows, -np.inf))})
         q_rid, _, at, _, _, s = run(left, right, False)
         count = np.bincount(at, minlength=len(q_rid))
         least = np.full(len(q_rid), np.inf)
         np.minimum.at(least, at, s)
         return pa.table({"rid": pa.array(q_rid), "tau": pa.array(np.where(count >= k, least, -np.inf))})
 
-    keys = ["pivot", "salt"]
+    keys = ["pivot", "range", "salt"]
     bounds = asking.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(home, "rid long, tau double")
     asked = materialize(asking.join(bounds, "rid"), "queries")
 
-    limits = {p: (s["lo"], s["hi"]) for p, s in summary.items()}
-    fields = "rid long, vec_id long, r double, v binary, tau double, chunk int, pivot int, salt int"
+    limits = {}
+    for p in sizes:
+        held = sorted(s for s in summary if s[0] == p)
+        limits[p] = (np.array([s[1] for s in held]), np.array([summary[s]["lo"] for s in held]), np.array([summary[s]["hi"] for s in held]), np.array([parts[s] for s in held]))
+    fields = "rid long, vec_id long, r double, v binary, tau double, chunk int, pivot int, range int, salt int"
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,13 +263,13 @@ def top_k(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "emb
             norms = (q * q).sum(axis=1)
             radius = np.sqrt(np.maximum(norms + R2 - 2 * tau, 0)) * (1 + SLACK) + 1e-6
             d = distances(np.c_[q, np.zeros(len(q))], centres)
-            for p, (lo, hi) in limits.items():
-                gap = np.maximum(lo - d[:, p], d[:, p] - hi)
-                pick = pa.array(np.flatnonzero(gap <= radius))
-                if len(pick):
-                    for s in range(parts[p]):
+            for p, (ranges, lo, hi, n) in limits.items():
+                for at, part in enumerate(ranges.tolist()):
+                    pick = pa.array(np.flatnonzero(np.maximum(lo[at] - d[:, p], d[:, p] - hi[at]) <= radius))
+                    for s in range(n[at] if len(pick) else 0):
+                        spots = [pa.array(np.full(len(pick), x, np.int32)) for x in (p, part, s)]
                         yield pa.RecordBatch.from_arrays(
-                            [t["rid"].take(pick), t["vec_id"].take(pick), pa.array(d[pick.to_numpy(), p]), t["v"].take(pick), t["tau"].take(pick), t["chunk"].take(pick), pa.array(np.full(len(pick), p, np.int32)), pa.array(np.full(len(pick), s, np.int32))],
+                            [t["rid"].take(pick), t["vec_id"].take(pick), pa.array(d[pick.to_numpy(), p]), t["v"].take(pick), t["tau"].take(pick), t["chunk"].take(pick), *spots],
                             [f.split()[0] for f in fields.split(", ")],
                         )
 
