@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 K = 128
 WIDTH = 5
 BITS = 48
-MOST_BROADCAST = 100_000
+MOST_BUCKETS = 1 << 16
+SAMPLED = 8
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,32 +80,51 @@ def with_next(docs: DataFrame, derive, per_bucket: int = 1024) -> DataFrame:
     """Every row with the columns that ``derive`` adds, and ``next``: a struct of the next row's.
 
     Rows go by doc_id (nulls first), then by a hash of the text; the last row's
-    next is the first. Rows are dealt into ranges of doc_id of about
-    ``per_bucket`` rows, each of which also gets the first row of the range
-    that follows, so no single task sees all rows.
+    next is the first. Rows are dealt into ranges of about ``per_bucket`` rows
+    (more where there would be over ``MOST_BUCKETS``), each of which also gets
+    the first row of the range that follows, so no task sees all rows. Borders
+    are quantiles of a sample of (doc_id, hash, number of the row): outlying,
+    null and repeated ids crowd no range.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    stats = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = stats["lo"] or 0, stats["hi"] or 0
-    width = max(1, (hi - lo + 1) * per_bucket // max(1, stats["n"]))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("decimal(38,0)")).otherwise(F.floor((F.col("doc_id").cast("decimal(38,0)") - lo) / width))
-    rows = rows.withColumn("bucket", bucket.cast("long")).withColumn("h", F.xxhash64("text"))
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("f"))
-    order = Window.orderBy("bucket")
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    buckets = (hi - lo) // width + 2
-    before = firsts.select("f.doc_id", "f.h", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(everything)).alias("to"))
-    extra = (
-        rows.alias("r")
-        .join((F.broadcast(before) if buckets <= MOST_BROADCAST else before).alias("b"), F.expr("r.doc_id <=> b.doc_id AND r.h = b.h"))
-        .select("r.doc_id", "r.text", F.col("b.to").alias("bucket"), "r.h")
-        .dropDuplicates(["bucket", "doc_id", "h"])
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row")).withColumns(
+        {"known": F.col("doc_id").isNotNull().cast("int"), "d": F.coalesce("doc_id", F.lit(0)), "h": F.xxhash64("text"), "u": F.xxhash64("row")}
     )
+    order = ["known", "d", "h", "u"]
+    n = rows.count()
+    buckets = min(MOST_BUCKETS, n // per_bucket + 1)
+    borders: list[tuple] = []
+    if buckets > 1:
+        share = min(1.0, SAMPLED * buckets / n)
+        drawn = rows.select(*order).where(F.pmod("u", F.lit(1 << 30)) <= int(share * (1 << 30))).collect()
+        drawn = sorted(map(tuple, drawn))
+        borders = sorted({drawn[len(drawn) * i // buckets] for i in range(1, buckets)}) if drawn else []
+    bucket = F.lit(0)
+    if borders:
+        # Constant arrays, searched by halves: the number of borders that are not above the row.
+        arrays = [F.expr(f"CAST(split('{','.join(str(b[i]) for b in borders)}', ',') AS ARRAY<BIGINT>)") for i in range(4)]
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(borders).bit_length()))])
+
+        def step(at: Column, by: Column) -> Column:
+            reached = F.lit(True)
+            for name, values in reversed(list(zip(order, arrays, strict=True))):
+                border = F.get(values, at + by - 1)
+                reached = (border < F.col(name)) | ((border == F.col(name)) & reached)
+            return F.when((at + by <= len(borders)) & reached, at + by).otherwise(at)
+
+        bucket = F.aggregate(steps, F.lit(0), step)
+    rows = rows.withColumn("bucket", bucket)
+    firsts = materialize(rows.groupBy("bucket").agg(F.min(F.struct(*order[:3])).alias("f")), "firsts")
+    by = Window.orderBy("bucket")  # at most MOST_BUCKETS rows
+    everything = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = firsts.select("f.known", "f.d", "f.h", F.coalesce(F.lag("bucket").over(by), F.max("bucket").over(everything)).alias("to"))
+    extra = rows.drop("bucket").join(F.broadcast(before), ["known", "d", "h"]).withColumnRenamed("to", "bucket").dropDuplicates(["bucket", *order[:3]])
     both = rows.withColumn("extra", F.lit(False)).unionByName(extra.withColumn("extra", F.lit(True)))
     derived = derive(both.repartition("bucket"))
-    names = [c for c in derived.columns if c not in ("bucket", "h", "extra")]
-    window = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_first(), "h")
-    return derived.withColumn("next", F.lead(F.struct(*names)).over(window)).where("not extra").drop("bucket", "h", "extra")
+    helpers = ["bucket", "extra", "row", *order]
+    names = [c for c in derived.columns if c not in helpers]
+    window = Window.partitionBy("bucket").orderBy("extra", *order)
+    return derived.withColumn("next", F.lead(F.struct(*names)).over(window)).where("not extra").drop(*helpers)
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
