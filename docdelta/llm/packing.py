@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_bytes
-from .tokens import END, default_path, encoder, in_blocks
+from .tokens import END, default_path, encoder, in_blocks, source_of
 from .vectors import summed
 
 WINDOW = 4096
 K1, B = 1.2, 0.75
-QUERY_TERMS = 16
 HEAD = 64
 DIM = 64
 SAMPLE = 1 << 16
@@ -36,9 +35,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def token_table(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id long, ids binary, n long) of every row; each document's ids end in id 2."""
+    source = docs.sparkSession.sparkContext.broadcast(source_of(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(source.value)
         end = np.array([END], encode.dtype).tobytes()
         for batch in batches:
             done = 0
@@ -79,13 +79,10 @@ class ShardIndex:
             self.wide[t] = np.zeros(len(docs))
             self.wide[t][self.doc[a:b]] = self.weight[a:b]
 
-    def scores(self, seed: int, most: int | None = QUERY_TERMS) -> np.ndarray:
-        """BM25 of all documents of the shard against the seed's ``most`` rarest terms (None: all its terms)."""
-        terms = self.terms[seed]
-        if most is not None and len(terms) > most:
-            terms = terms[np.lexsort((terms, -self.idf[terms]))[:most]]
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents of the shard against the seed's terms."""
         out = np.zeros(len(self.terms))
-        for t in terms.tolist():
+        for t in self.terms[seed].tolist():
             if t in self.wide:
                 out += self.wide[t]
             else:
@@ -95,7 +92,7 @@ class ShardIndex:
 
     def ranked(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """The unused documents that share a term with the seed, from best to worst; the first ones are sorted alone."""
-        scores = self.scores(seed, None)
+        scores = self.scores(seed)
         scores[used] = 0
         if len(scores) > HEAD and (least := np.partition(scores, -HEAD)[-HEAD]) > 0:
             head = np.flatnonzero(scores >= least)
@@ -184,7 +181,8 @@ def dealt_by_terms(tokens: DataFrame, docs: int, shards: int, idf, mean: float,
             shard = tree.value.shard(vectors(b, p), b.column("hash").to_numpy().view(np.uint64) >> np.uint64(1))
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), b.column("doc_id"), b.column("ids")], ["shard", "doc_id", "ids"])
 
-    return tokens.select(F.xxhash64("doc_id", "ids").alias("hash"), "doc_id", "ids").mapInArrow(deal, "shard long, doc_id long, ids binary")
+    # The row's number parts equal rows, which would else all meet in one shard.
+    return tokens.select(F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("hash"), "doc_id", "ids").mapInArrow(deal, "shard long, doc_id long, ids binary")
 
 
 def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:

@@ -9,6 +9,7 @@ unusual characters is a piece of its own, which the whole tokenizer encodes.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -70,10 +71,10 @@ class Cache:
 class WordEncoder:
     """ids of texts as packed unsigned integers (two bytes each where the vocabulary allows)."""
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, source: bytes, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(source.decode())
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = Cache(most)
@@ -124,14 +125,22 @@ class WordEncoder:
         return [bytes(packed[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[bytes, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each path and process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def source_of(path: str) -> bytes:
+    """The tokenizer's file, which the driver reads and executors get by broadcast (a few MB)."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(source: bytes | str) -> WordEncoder:
+    """One encoder for each tokenizer (its file's bytes, or its path) and process."""
+    source = source_of(source) if isinstance(source, str) else source
+    key = hashlib.sha256(source).digest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(source)
+    return _ENCODERS[key]
 
 
 def in_blocks(texts, most: int = 1 << 23):

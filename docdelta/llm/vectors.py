@@ -13,8 +13,8 @@ def summed(df: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], siz
     """The float64 vector that ``add`` accumulates over all batches of ``df``.
 
     Every partition yields one vector of ``size``; they are then summed by
-    ``fan_in`` at a time on the executors, so that no task and not the driver
-    ever holds more than ``fan_in`` vectors' rows of them.
+    ``fan_in`` at a time on the executors, so that no task reads more than
+    about ``fan_in`` of them and the driver gets one.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,10 +37,10 @@ def summed(df: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], siz
 
     parts = df.rdd.getNumPartitions()
     df = df.mapInArrow(first, "v binary")
-    while parts > fan_in:
+    while parts > 1:
         parts = -(-parts // fan_in)
         df = df.repartition(parts).mapInArrow(more, "v binary")
     out = np.zeros(size)
-    for row in df.toLocalIterator():
+    for row in df.collect():
         out += np.frombuffer(row[0], np.float64)
     return out
