@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docdelta.llm import langid, mixing, packing, pii, simhash
-from docdelta.llm.common import materialize, table
+from docdelta.llm.common import fresh, materialize, table
+from docdelta.sources.tables import drop_since, mark
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +25,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to surrogates; n_chars follows the text."""
-    columns = docs.columns
-    out = pii.pseudonymize(docs, count_col="_n_entities")
-    n_chars = F.when(F.col("_n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*columns)
+    """Personal data gives way to surrogates (see ``pii.pseudonymize``); n_chars follows a text that changes."""
+    (count,) = fresh(docs.columns, "n_entities")
+    out = pii.pseudonymize(docs, pii.session_key(spark), count_col=count)
+    n_chars = F.when(F.col(count) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again.
+
+    What a stage read and wrote on its way goes as soon as its own table is there.
+    """
+    docs, since = table(spark, sf_dir, "documents"), mark(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_since(spark, since, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
