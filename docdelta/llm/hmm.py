@@ -5,7 +5,8 @@ emit symbols: each of the most frequent words is a symbol of its own, every
 other word emits the class of its last three bytes, and a class gives its words
 shares by their exact counts. Baum-Welch counts of every training document are
 summed over partitions, a round a job; a scaled forward recursion then gives
-the exact log likelihood of each whole text.
+the exact log likelihood of each whole text. Both run over whole texts: long
+ones in segments, whose borders carry what lies before and after them.
 
 The counts of the most frequent words, ``HEAD`` at most, are broadcast.
 All other words, which are rare by construction, get their exact counts in a
@@ -31,7 +32,7 @@ from .vectors import summed
 HEAD = 1 << 17
 WORDS = 1 << 13
 CLASSES = 1 << 10
-SEGMENT = 128
+SEGMENT = 512
 LONG = 4096
 ROOM = 0.1
 
@@ -81,8 +82,8 @@ class Vocabulary:
     @property
     def log_mass(self) -> np.ndarray:
         """log10 of the mass of each class; 0 for symbols that are words."""
-        out = np.log10(self.mass)
-        out[: 1 + self.words] = 0
+        out = np.zeros(len(self.mass))
+        out[1 + self.words :] = np.log10(self.mass[1 + self.words :])
         return out
 
 
@@ -163,41 +164,97 @@ class Model:
     def states(self) -> int:
         return len(self.start)
 
-    def between(self) -> np.ndarray:
-        """The stationary distribution, from which inner segments of a text start in training."""
-        p = self.start.copy()
-        for _ in range(200):
-            p = p @ self.move
-        return p / p.sum()
 
-
-def segments(ids: list[np.ndarray], length: int = SEGMENT):
-    """All texts in segments of at most ``length``: flat symbols, offsets, lengths, whether each begins a text."""
+def segments(ids: list[np.ndarray], length: int | None = None):
+    """All texts in segments of at most ``length``: flat symbols, offsets, lengths, whether each begins and ends a text."""
+    length = length or SEGMENT
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
     sizes = np.array([len(x) for x in ids], np.int64)
     n = -(-sizes // length)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(ids) else sizes
-    k = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]] if len(ids) else n, n)
+    starts = np.cumsum(sizes) - sizes
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     off = np.repeat(starts, n) + k * length
     lens = np.minimum(length, np.repeat(starts + sizes, n) - off)
-    return flat, off, lens, k == 0
+    return flat, off, lens, k == 0, k == np.repeat(n, n) - 1
+
 
+def _borders(model: Model, flat: np.ndarray, off: np.ndarray, lens: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """What lies before and after each segment, as the whole text has it.
 
-def expected(model: Model, ids: list[np.ndarray], total: np.ndarray, block: int = 2048) -> None:
-    """Add the expected counts of all texts to ``total``: starts, moves, emissions, log likelihood."""
+    ``before``: the distribution of a segment's first state given all symbols
+    before it; ``after``: the likelihood of all symbols after it by its last
+    state, up to a factor. Also the expected moves across all borders. Segments
+    of texts with several are reduced to products of their steps, which are
+    put together from both ends: the forward and backward recursions of whole
+    texts, associated differently.
+    """
+    K = model.states
+    before, after, moved = np.tile(model.start, (len(off), 1)), np.ones((len(off), K)), np.zeros((K, K))
+    several = np.flatnonzero(~(first & last))
+    if not len(several):
+        return before, after, moved
+    products = np.empty((len(several), K, K))
+    for at in range(0, len(several), 512):
+        pick = several[at : at + 512]
+        order = np.argsort(-lens[pick], kind="stable")
+        o, n = off[pick][order], lens[pick][order]
+        m = np.eye(K) * model.emit[flat[o]][:, None, :]
+        active = np.searchsorted(-n, -np.arange(n[0]), side="left")
+        for t in range(1, n[0]):
+            a = active[t]
+            m[:a] = (m[:a].reshape(-1, K) @ model.move).reshape(-1, K, K) * model.emit[flat[o[:a] + t]][:, None, :]
+            if t % 16 == 0:
+                m[:a] /= m[:a].max(axis=(1, 2), keepdims=True)
+        products[at + order] = m / m.max(axis=(1, 2), keepdims=True)
+    begins = np.flatnonzero(first[several])
+    counts = np.diff(np.r_[begins, len(several)])
+    ends = np.empty((len(several), K))  # filtered distribution at each segment's last symbol
+    state = np.tile(model.start, (len(begins), 1))
+    for j in range(counts.max()):
+        live = np.flatnonzero(counts > j)
+        at = begins[live] + j
+        before[several[at]] = state[live]
+        a = np.einsum("nk,nkl->nl", state[live], products[at])
+        ends[at] = a / a.sum(axis=1, keepdims=True)
+        state[live] = ends[at] @ model.move
+    later = np.ones((len(begins), K))
+    for j in range(counts.max() - 1, -1, -1):
+        live = np.flatnonzero(counts > j)
+        at = begins[live] + j
+        after[several[at]] = later[live]
+        w = np.einsum("nkl,nl->nk", products[at], later[live])
+        w /= w.max(axis=1, keepdims=True)
+        later[live] = w @ model.move.T
+        if j:  # the border to the segment before
+            joint = ends[at - 1][:, :, None] * model.move * w[:, None, :]
+            moved += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return before, after, moved
+
+
+def expected(model: Model, ids: list[np.ndarray], total: np.ndarray, block: int = 1 << 18) -> None:
+    """Add the expected counts of all whole texts to ``total``: starts, moves, emissions, log likelihood.
+
+    Segments advance together, about ``block`` symbols at a time.
+    """
     K, S = model.states, len(model.emit)
     move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    flat, off, lens, first = segments(ids)
+    flat, off, lens, first, last = segments(ids)
+    if not len(off):
+        return
+    before, after, across = _borders(model, flat, off, lens, first, last)
+    total[K : K + K * K] += across.ravel()
     order = np.argsort(-lens, kind="stable")
-    begin, inner = model.start.astype(np.float32), model.between().astype(np.float32)
     emissions = total[K + K * K : -1].reshape(K, S)
-    for at in range(0, len(order), block):
-        pick = order[at : at + block]
+    at = 0
+    while at < len(order):
+        pick = order[at : at + max(1, block // int(lens[order[at]]))]
+        at += len(pick)
         o, n = off[pick], lens[pick]
         steps = int(n[0])
         active = np.searchsorted(-n, -np.arange(steps), side="left")
         alphas, scales, symbols = [], [], []
-        a = np.where(first[pick][:, None], begin, inner)
+        a = before[pick].astype(np.float32)
+        final = np.empty((len(pick), K))
         for t in range(steps):
             m = active[t]
             s = flat[o[:m] + t]
@@ -205,20 +262,22 @@ def expected(model: Model, ids: list[np.ndarray], total: np.ndarray, block: int
             c = a.sum(axis=1, keepdims=True)
             a /= c
             alphas.append(a), scales.append(c), symbols.append(s)
+            final[:m] = a
         total[-1] += sum(float(np.log(c, dtype=np.float64).sum()) for c in scales)
+        # What follows a segment weighs its last states; scaled so that each place's states add up to 1.
+        tails = after[pick]
+        tails = (tails / (final * tails).sum(axis=1, keepdims=True)).astype(np.float32)
         moved = np.zeros((K, K))
-        beta = np.ones((active[-1], K), np.float32)
-        gammas = [alphas[-1]]
+        beta = tails[: active[-1]]
+        gammas = [alphas[-1] * beta]
         for t in range(steps - 2, -1, -1):
             m = active[t + 1]
-            after = emit[symbols[t + 1]] * beta / scales[t + 1]
-            moved += alphas[t][:m].T @ after
-            beta = np.ones((active[t], K), np.float32)
-            beta[:m] = after @ move.T
+            then = emit[symbols[t + 1]] * beta / scales[t + 1]
+            moved += alphas[t][:m].T @ then
+            beta = np.concatenate([then @ move.T, tails[m : active[t]]])
             gammas.append(alphas[t] * beta)
         total[K : K + K * K] += (moved * model.move).ravel()
-        starts = gammas[-1][first[pick]]
-        total[:K] += starts.sum(axis=0)
+        total[:K] += gammas[-1][first[pick]].sum(axis=0)
         gamma, s = np.concatenate(gammas[::-1]), np.concatenate(symbols)
         for k in range(K):
             emissions[k] += np.bincount(s, weights=gamma[:, k], minlength=S)
@@ -233,7 +292,7 @@ def maximized(total: np.ndarray, K: int, base: np.ndarray, prior: float = 50.0)
 
 
 def initial(sample: list[np.ndarray], K: int, base: np.ndarray, rounds: int = 20, seed: int = 11) -> Model:
-    """Baum-Welch over a bounded sample, from random emissions and states that tend to stay."""
+    """Baum-Welch over a bounded sample of segments, from random emissions and states that tend to stay."""
     rng = np.random.default_rng(seed)
     emit = base[:, None] * rng.gamma(1.0, 1.0, (len(base), K))
     model = Model(np.full(K, 1 / K), np.full((K, K), 0.1 / K) + 0.9 * np.eye(K), emit / emit.sum(axis=0))
@@ -244,6 +303,27 @@ def initial(sample: list[np.ndarray], K: int, base: np.ndarray, rounds: int = 20
     return model
 
 
+def drawn_segments(rows: DataFrame, share: float) -> DataFrame:
+    """(order long, ids binary): segments of all texts of ``rows`` (rid, ids), wherever they lie, each with probability ``share``."""
+    bound = np.uint64(min(1.0, share) * ((1 << 32) - 1))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(x.as_py(), np.uint16) for x in b.column(1)]
+            flat, off, lens, first, _ = segments(ids)
+            n = np.array([-(-len(x) // SEGMENT) for x in ids], np.int64)
+            h = np.repeat(b.column(0).to_numpy(), n).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h += (np.arange(len(off)) - np.maximum.accumulate(np.where(first, np.arange(len(off)), 0))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            for shift in (31, 29):
+                h ^= h >> np.uint64(shift)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+            picked = np.flatnonzero((h >> np.uint64(32)) <= bound)
+            out = [flat[off[i] : off[i] + lens[i]].tobytes() for i in picked.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array((h[picked] >> np.uint64(1)).astype(np.int64)), pa.array(out, pa.binary())], ["order", "ids"])
+
+    return rows.select("rid", "ids").mapInArrow(work, "order long, ids binary")
+
+
 def _transfer(model: Model, ids: np.ndarray, length: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Scaled products of the steps of each run of ``length`` symbols: (runs, K, K) and the logs of their scales."""
     K, runs = model.states, -(-len(ids) // length)
@@ -302,8 +382,9 @@ def score(docs: DataFrame, folds: int = 10, states: int = 8, rounds: int = 3, sa
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Learns from the rows of ``docs`` (doc_id, text) whose key's crc32 modulo
-    ``folds`` is not 0. ``sample`` bounds the documents from which Baum-Welch
-    starts; its ``rounds`` over the corpus use every training token.
+    ``folds`` is not 0. ``sample`` bounds the segments, drawn from all places
+    of all training texts, from which Baum-Welch starts; its ``rounds`` over
+    the corpus then use every token of every whole training text.
 
     Defined cases: a null or empty text has the end alone. Repeated rows are
     scored (and learned from) one by one. A null doc_id counts as the empty
@@ -320,9 +401,8 @@ def score(docs: DataFrame, folds: int = 10, states: int = 8, rounds: int = 3, sa
 
     base = vocab.mass / vocab.mass.sum()
     learn = rows.where("not held_out")
-    share = min(1.0, 1.2 * sample / max(1, vocab.ends))
-    drawn = learn.where(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).select("rid", F.expr("substring(ids, 1, 1024)").alias("ids"))
-    first = [np.frombuffer(r["ids"], np.uint16) for r in sorted(drawn.collect(), key=lambda r: r["rid"])[:sample]]
+    drawn = drawn_segments(learn, 1.2 * sample / max(1, vocab.ends + vocab.total // SEGMENT))
+    first = [np.frombuffer(r["ids"], np.uint16) for r in sorted(drawn.collect(), key=lambda r: (r["order"], bytes(r["ids"])))[:sample]]
     model = initial(first, states, base)
     for _ in range(rounds if vocab.ends else 0):
         now = spark.sparkContext.broadcast(model)

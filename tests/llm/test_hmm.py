@@ -16,14 +16,16 @@ def random_model(K, S, seed=0):
     return hmm.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def test_forward_and_expected_counts_match_all_paths():
+@pytest.mark.parametrize("segment", [512, 1, 2, 3])
+def test_forward_and_expected_counts_match_all_paths(segment, monkeypatch):
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
     m = random_model(3, 5)
-    ids = [np.array(x, np.uint16) for x in ([0], [1, 2, 3], [4, 4, 0, 2, 1], [3, 3])]
+    ids = [np.array(x, np.uint16) for x in ([0], [1, 2, 3], [4, 4, 0, 2, 1], [3, 3], [])]
     total = np.zeros(3 + 9 + 15 + 1)
     hmm.expected(m, ids, total)
     want = np.zeros_like(total)
     likes = []
-    for x in ids:
+    for x in ids[:-1]:
         paths = list(itertools.product(range(3), repeat=len(x)))
         p = np.array([m.start[z[0]] * np.prod([m.move[a, b] for a, b in zip(z, z[1:])]) * np.prod([m.emit[s, k] for s, k in zip(x, z)]) for z in paths])
         likes.append(np.log10(p.sum()))
@@ -35,7 +37,7 @@ def test_forward_and_expected_counts_match_all_paths():
                 want[12 + 5 * k + s] += w
         want[-1] += np.log(p.sum())
     assert np.allclose(total, want, rtol=1e-4)
-    assert np.allclose(hmm.log_likelihoods(m, ids), likes)
+    assert np.allclose(hmm.log_likelihoods(m, ids), [*likes, 0])
 
 
 def test_long_texts_and_segments(monkeypatch):
@@ -45,8 +47,15 @@ def test_long_texts_and_segments(monkeypatch):
     plain = hmm.log_likelihoods(m, ids)
     monkeypatch.setattr(hmm, "LONG", 1)
     assert np.allclose(hmm.log_likelihoods(m, ids), plain)
-    flat, off, lens, first = hmm.segments(ids)
-    assert np.array_equal(np.concatenate([flat[o : o + n] for o, n in zip(off, lens)]), np.concatenate(ids)) and first.sum() == 6
+    flat, off, lens, first, last = hmm.segments(ids)
+    assert np.array_equal(np.concatenate([flat[o : o + n] for o, n in zip(off, lens)]), np.concatenate(ids)) and first.sum() == last.sum() == 6
+    found = []
+    for length in (7, 512, 4096):
+        monkeypatch.setattr(hmm, "SEGMENT", length)
+        found.append(np.zeros(4 + 16 + 36 + 1))
+        hmm.expected(m, ids, found[-1], 1000)
+    assert np.allclose(found[0], found[2], rtol=1e-3) and np.allclose(found[1], found[2], rtol=1e-3)
+    assert np.isclose(found[0][-1] / np.log(10), plain.sum()) and np.isclose(found[0][20:-1].sum(), sum(map(len, ids)), rtol=1e-4)
 
 
 def test_probabilities_and_base(spark):
