@@ -3,11 +3,15 @@
 The canonical form of a text has no copyright lines, case, punctuation or
 layout, and one spelling for words with several. The digests of whole texts
 are joined to those of known licences, so a text matches if nothing but these
-differ. The known texts are a parameter; those below are the short licences.
+differ. The known texts are a parameter; by default they are the short
+licences below and the full texts in ``license_texts``, a file each.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +55,15 @@ TEXTS = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+
+
+@cache
+def known_texts() -> tuple[tuple[str, str], ...]:
+    """(license_id, text) of the short licences and of the files beside this module, named by their ids."""
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return (*TEXTS, *((f.stem, f.read_text(encoding="utf-8")) for f in files))
+
+
 # Fixed value: a line that only states a copyright (after a line break, in lower case).
 COPYRIGHT = r"\n[ \t#*/;%-]*(?:copyright (?:\(c\)|©|[0-9]{4})|\(c\) [0-9]{4}|© ?[0-9]{4}|all rights reserved)[^\n]*"
 
@@ -69,9 +82,9 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
+def known(spark, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license_id) of known texts; of licences with equal canonical texts the least id."""
-    rows = spark.createDataFrame(texts, "license_id string, text string").where(F.length(canonical(F.col("text"))) > 0)
+    rows = spark.createDataFrame(list(texts or known_texts()), "license_id string, text string").where(F.length(canonical(F.col("text"))) > 0)
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -80,11 +93,12 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
 
     Defined cases: null, empty and wordless texts have the digest of the empty
     text and match nothing. Repeated rows give repeated results. Empty table:
-    empty result. Extra columns are ignored. Many documents may share a digest:
-    known licences have one row a digest, which is broadcast up to
-    ``MOST_BROADCAST`` rows and joined by shuffle beyond.
+    empty result. Extra columns are ignored. Many documents may share a digest.
+    Known licences (digest, license_id) get one row a digest, with the least
+    id; they are broadcast up to ``MOST_BROADCAST`` rows and joined by shuffle
+    beyond.
     """
-    table = known(docs.sparkSession) if licenses is None else licenses
+    table = known(docs.sparkSession) if licenses is None else licenses.where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     small = table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"))
     return rows.join(F.broadcast(table) if small else table, "digest", "left").select("doc_id", "digest", "license_id")
@@ -100,9 +114,9 @@ def _sql(text: str) -> str:
     return f"trim({out}, ' ')"
 
 
-def oracle(texts: list[tuple[str, str]] = TEXTS) -> str:
+def oracle(texts: list[tuple[str, str]] | None = None) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in texts)
+    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in texts or known_texts())
     return f"""
 WITH texts(license_id, text) AS (VALUES {rows}),
 known AS (

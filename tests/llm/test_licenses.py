@@ -1,5 +1,6 @@
 import duckdb
 from docdelta.llm import licenses as L
+from pyspark.sql import functions as F
 
 
 def test_known_texts_match_through_layout_case_and_spelling(spark):
@@ -32,3 +33,16 @@ def test_tables(spark):
     own = L.known(spark, [("own", "my own license"), ("another", "MY, OWN, LICENSE"), ("none", "...")])
     assert [tuple(r)[::2] for r in L.scan(df, own).collect()] == [(1, "another")]
     assert L.scan(df.limit(0)).count() == 0
+    twice = own.union(own.withColumn("license_id", F.lit("zz")))
+    assert [r.license_id for r in L.scan(df, twice).collect()] == ["another"]
+
+
+def test_full_texts_are_found(spark):
+    """Every licence that is shipped, in other letters, layout and with a copyright line of its own."""
+    texts = [(i, t) for i, t in L.known_texts() if len(t) > 300]
+    assert len({i for i, _ in texts}) >= 20
+    rows = [(k, f"(c) 2021 Some Body\n\n{t.upper() if k % 2 else t}".replace(", ", " ,\t").replace("Licence", "License")) for k, (_, t) in enumerate(texts)]
+    df = spark.createDataFrame([*rows, *[(1000 + k, t[: len(t) // 2]) for k, t in rows]], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in L.scan(df).collect()}
+    assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
+    assert not any(got[1000 + k] for k in range(len(texts)))
