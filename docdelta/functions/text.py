@@ -32,7 +32,9 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    """The text without white space at its ends, which are looked at first."""
+    ends = F.substring(text, 1, 1).rlike(WS) | F.substring(text, -1, 1).rlike(WS)
+    return F.when(ends, F.regexp_replace(text, f"^{WS}+|{WS}+$", "")).otherwise(text)
 
 
 def words(text: Column) -> Column:
@@ -53,14 +55,20 @@ def repair_spaced(line: Column) -> Column:
 
     marked = F.split(F.regexp_replace(line, f"({SPACED_RUN})", "\u0001$1\u0001"), "\u0001")
     fixed = F.array_join(F.transform(marked, lambda p, i: F.when(i % 2 == 1, joined(p)).otherwise(p)), "")
-    return F.when(line.rlike(SPACED_RUN), fixed).otherwise(line)
+    # A run has a character alone between white space, which is the cheaper test.
+    return F.when(line.rlike(f"{WS}[A-Za-z0-9]{WS}") & line.rlike(SPACED_RUN), fixed).otherwise(line)
 
 
 def clean_lines(text: Column) -> Column:
     """The non-empty lines of the normalized text."""
-    unified = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), GLUED_BULLET, "\n– ")
-    lines = F.transform(F.split(unified, "\n"), lambda x: repair_spaced(strip(F.regexp_replace(x, "[ \t]+", " "))))
-    return F.filter(lines, lambda x: x != "")
+    unix = F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    unified = let(unix, lambda x: F.when(x.rlike("[–—]"), F.regexp_replace(x, GLUED_BULLET, "\n– ")).otherwise(x))
+
+    def cleaned(x: Column) -> Column:
+        single = F.when(x.contains("\t") | x.contains("  "), F.regexp_replace(x, "[ \t]+", " ")).otherwise(x)
+        return let(let(single, strip), repair_spaced)
+
+    return F.filter(F.transform(F.split(unified, "\n"), cleaned), lambda x: x != "")
 
 
 def normalize_text(text: Column) -> Column:
@@ -78,9 +86,9 @@ def is_boilerplate_line(line: Column) -> Column:
 def is_numeric_row(line: Column) -> Column:
     def of(parts: Column) -> Column:
         numeric = F.size(F.filter(parts, lambda p: p.rlike(r"\d")))
-        return (F.size(parts) >= 4) & line.rlike(NUMERIC_ROW) & (numeric / F.size(parts) >= 0.75)
+        return (F.size(parts) >= 4) & (numeric / F.size(parts) >= 0.75)
 
-    return let(words(line), of)
+    return line.rlike(NUMERIC_ROW) & let(words(line), of)
 
 
 def is_noise_line(line: Column) -> Column:
@@ -89,8 +97,8 @@ def is_noise_line(line: Column) -> Column:
 
 def kept_lines(text: Column) -> Column:
     """Normalized lines without structural noise."""
-    lines = F.flatten(F.transform(clean_lines(text), lambda x: F.split(x, BREAKS)))
-    return F.filter(F.transform(lines, strip), lambda x: ~is_noise_line(x))
+    lines = F.flatten(F.transform(clean_lines(text), lambda x: F.when(x.rlike(BREAKS), F.transform(F.split(x, BREAKS), strip)).otherwise(F.array(x))))
+    return F.filter(lines, lambda x: ~is_noise_line(x))
 
 
 def drop_noise_lines(text: Column) -> Column:

@@ -1,31 +1,81 @@
 """Alignment of the sections of two versions: by number, by title, then by similarity.
 
-The assignment is greedy in document order, so it runs a pair at a time, on
-narrow rows only; texts are read for what the first phase leaves over.
+Numbers and titles are joins; what only one section wants is settled there.
+Greedy order decides the rest, a pair at a time on rows of ids and scores.
+Texts are scored in blocks of a pair's left-over sections, and only where the
+lengths and the counts of characters leave room for the threshold.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from docdelta.functions import text as T
 from docdelta.sources.tables import written
 
 THRESHOLD = 0.72
 PREFIX = 4000
+BLOCK = 16
 NUMBER, TITLE, SIMILAR = "section number match", "normalized title match", "text/title similarity fallback"
 FIELDS = "old_section_id string, new_section_id string, score double, reason string, phase int, ord int"
 
 
+class Matcher:
+    """The ratio of the standard library's sequence matcher, for one right text and many left ones.
+
+    Only places of the left text whose character the right text keeps in its
+    index are looked at; with popular characters dropped, these are few.
+    """
+
+    def __init__(self, right: str, autojunk: bool = True) -> None:
+        self.right, self.places = right, {}
+        for j, c in enumerate(right):
+            self.places.setdefault(c, []).append(j)
+        if autojunk and len(right) >= 200:
+            most = len(right) // 100 + 1
+            self.places = {c: js for c, js in self.places.items() if len(js) <= most}
+
+    def ratio(self, left: str) -> float:
+        right, places = self.right, self.places
+        if not left or not right:
+            return float(left == right)
+        if left == right:
+            return 1.0
+        at = [i for i, c in enumerate(left) if c in places]
+        matched, open_ = 0, [(0, len(left), 0, len(right))]
+        while open_:
+            a0, a1, b0, b1 = open_.pop()
+            x, y, size = a0, b0, 0
+            ending: dict[int, int] = {}  # length of the common run that ends at a place of the right text
+            last = -2
+            for i in at[bisect_left(at, a0) : bisect_left(at, a1)]:
+                longer: dict[int, int] = {}
+                for j in places[left[i]]:
+                    if b0 <= j < b1:
+                        n = longer[j] = (ending.get(j - 1, 0) if i == last + 1 else 0) + 1
+                        if n > size:
+                            x, y, size = i - n + 1, j - n + 1, n
+                ending, last = longer, i
+            while x > a0 and y > b0 and left[x - 1] == right[y - 1]:
+                x, y, size = x - 1, y - 1, size + 1
+            while x + size < a1 and y + size < b1 and left[x + size] == right[y + size]:
+                size += 1
+            if size:
+                matched += size
+                open_ += [r for r in ((a0, x, b0, y), (x + size, a1, y + size, b1)) if r[0] < r[1] and r[2] < r[3]]
+        return 2.0 * matched / (len(left) + len(right))
+
+
 def similarity(left: str, right: str, autojunk: bool = True) -> float:
     """Ratio of matching characters; 1 for two empty texts, 0 if only one is."""
-    if not left or not right:
-        return float(left == right)
-    return SequenceMatcher(None, left, right, autojunk).ratio()
+    return Matcher(right, autojunk).ratio(left)
 
 
 def _renewed(df: DataFrame) -> DataFrame:
@@ -43,72 +93,207 @@ def _kind(df: DataFrame) -> str:
 
 
 def match_by_number(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(pair_id, old_section_id, new_section_id): equal numbers, the first section of each side."""
-    first = lambda df, name: df.where("comparison_enabled AND number <> ''").groupBy("pair_id", "number").agg(F.min_by("section_id", "order_index").alias(name))
-    return first(old, "old_section_id").join(first(new, "new_section_id"), ["pair_id", "number"]).drop("number")
+    """(pair_id, old_section_id, new_section_id, new_key): for each old section the first new one of its number."""
+    first = _keys(new).where("number <> ''").groupBy("pair_id", "number").agg(F.min_by(F.struct("section_id", "key"), "order_index").alias("n"))
+    rows = _keys(old).where("number <> ''").join(first, ["pair_id", "number"])
+    return rows.select("pair_id", F.col("section_id").alias("old_section_id"), F.col("n.section_id").alias("new_section_id"), F.col("n.key").alias("new_key"))
 
 
 def match_by_title(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(pair_id, old_section_id, new_section_id): equal normalized titles, the first section of each side."""
-    first = lambda df, name: _keys(df).groupBy("pair_id", "key").agg(F.min_by("section_id", "order_index").alias(name))
-    return first(old, "old_section_id").join(first(new, "new_section_id"), ["pair_id", "key"]).drop("key")
+    """(pair_id, old_section_id, new_section_id): for each old section the first new one of its normalized title."""
+    first = _keys(new).groupBy("pair_id", "key").agg(F.min_by("section_id", "order_index").alias("new_section_id"))
+    return _keys(old).join(first, ["pair_id", "key"]).select("pair_id", F.col("section_id").alias("old_section_id"), "new_section_id")
+
+
+@F.pandas_udf(DoubleType())
+def title_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The score of a match by number: the similarity of the titles, 0.9 at least."""
+    return pd.Series([1.0 if x == y else max(0.9, similarity(x or "", y or "")) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def indexed_matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Phase one: in old order, claim the first new section of the number, else of the title. Old rows without a partner have a null new_section_id."""
+    """Phase one: in old order, claim the first new section of the number, else of the title. Old rows without a partner have a null new_section_id.
+
+    A new section that one old section alone could claim is its own, whatever
+    the order. Only old sections with a contested candidate run through the fold.
+    """
+    on = ["pair_id", "old_section_id"]
+    numbered = match_by_number(old, new).withColumnsRenamed({"new_section_id": "by_number", "new_key": "by_number_key"})
+    titled = match_by_title(old, new).withColumnRenamed("new_section_id", "by_title")
+    wants = _keys(old).withColumnRenamed("section_id", "old_section_id").join(numbered, on, "left").join(titled, on, "left")
+    wants = written(wants.select(*on, "key", F.col("order_index").alias("ord"), "by_number", "by_number_key", "by_title"), "candidates")
+    each = wants.select(*on, F.explode(F.array_distinct(F.array_compact(F.array("by_number", "by_title")))).alias("new"))
+    contested = each.groupBy("pair_id", "new").agg(F.count("*").alias("n")).where("n > 1")
+    busy = each.join(contested, ["pair_id", "new"], "left_semi").select(*on).distinct()
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, by = set(), []
+        for r in rows.sort_values("ord").itertuples():
+            hit = next(((name, x) for name, x in (("n", r.by_number), ("t", r.by_title)) if x is not None and x not in taken), ("", None))
+            taken.add(hit[1])
+            by.append((r.pair_id, r.old_section_id, hit[0]))
+        return pd.DataFrame(by, columns=["pair_id", "old_section_id", "how"])
+
+    decided = wants.join(busy, on, "left_semi").select(*on, "ord", "by_number", "by_title").groupBy("pair_id").applyInPandas(fold, f"pair_id {_kind(old)}, old_section_id string, how string")
+    rows = wants.join(decided, on, "left")
+    how = F.coalesce("how", F.when(F.col("by_number").isNotNull(), "n").when(F.col("by_title").isNotNull(), "t").otherwise(""))
+    rows = rows.withColumn("how", how).withColumn("title_score", title_score("key", "by_number_key"))
+    return rows.select(
+        *on, F.when(F.col("how") == "n", F.col("by_number")).when(F.col("how") == "t", F.col("by_title")).alias("new_section_id"),
+        F.when(F.col("how") == "n", F.col("title_score")).when(F.col("how") == "t", 0.86).otherwise(0.0).alias("score"),
+        F.when(F.col("how") == "n", NUMBER).when(F.col("how") == "t", TITLE).otherwise("").alias("reason"), F.lit(1).alias("phase"), "ord",
+    )
+
+
+def _counts(texts: list[str], width: int, bins: int) -> np.ndarray:
+    """How often each substring of ``width`` characters occurs, folded into ``bins``: rows overlap no less than their texts do."""
+    out = np.zeros((len(texts), bins), np.int32)
+    for row, t in zip(out, texts, strict=True):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if len(codes) >= width:
+            mixed = codes[: len(codes) - width + 1]
+            for k in range(1, width):
+                mixed = mixed * np.uint64(0x9E3779B1) + codes[k : len(codes) - width + 1 + k]
+            row += np.bincount((mixed % np.uint64(bins)).astype(np.int64), minlength=bins).astype(np.int32)
+    return out
+
+
+def similarity_bounds(old: list[str], new: list[str], autojunk: bool = True) -> np.ndarray:
+    """Upper bounds of ``similarity`` for all pairs of two lists.
+
+    Matched characters are common to both texts, as many times. Where the
+    matcher drops a long new text's popular characters, each matching block but
+    one at the very start has one of its other characters; so the blocks are
+    few, and of a block's n characters n - 2 begin a substring of three that
+    both texts hold.
+    """
+    a, b = _counts(old, 1, 256), _counts(new, 1, 256)
+    sizes_a, sizes_b = a.sum(axis=1), b.sum(axis=1)
+    rare = np.where(b <= sizes_b[:, None] // 100 + 1, b, 0)
+    a3, b3 = _counts(old, 3, 4096), _counts(new, 3, 4096)
+    out = np.empty((len(old), len(new)))
+    for i in range(len(old)):
+        shared = np.minimum(a[i], b).sum(axis=1)
+        if autojunk:
+            blocks = np.minimum(a[i], rare).sum(axis=1) + 1
+            shared = np.where(sizes_b >= 200, np.minimum(shared, np.minimum(a3[i], b3).sum(axis=1) + 2 * blocks), shared)
+        total = sizes_a[i] + sizes_b
+        out[i] = np.where(total == 0, 1.0, 2.0 * shared / np.maximum(total, 1))
+    return out
+
+
+def _dealt(old: DataFrame, new: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """``work`` over blocks of a pair's ``old`` rows, each with all ``new`` rows of the pair."""
+    order = Window.partitionBy("pair_id").orderBy("order_index")
+    left = _renewed(old.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)).select("pair_id", "block", *columns))
+    blocks = _renewed(left.select("pair_id", "block").distinct())
+    right = _renewed(_renewed(new).join(blocks, "pair_id"))
+    # Few bytes but much work a row: a given number of partitions keeps adaptive execution from merging them.
+    parts = int(old.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    dealt = [df.repartition(parts, "pair_id", "block").groupBy("pair_id", "block") for df in (left, right)]
+    return dealt[0].cogroup(dealt[1]).applyInPandas(work, f"pair_id {_kind(old)}, section_id string, {schema}")
+
+
+def similarity_scores(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD, autojunk: bool = True) -> DataFrame:
+    """(pair_id, section_id, candidates array<struct<id,score>>): the new sections that each old one is similar to.
+
+    Both have pair_id, section_id, key, prefix, order_index; the score is the
+    larger similarity of prefixes and keys, ``threshold`` at least. Bounds
+    spare most comparisons, and change no result.
+    """
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids, best = b["section_id"].tolist(), np.zeros((len(a), len(b)))
+        for c in ("prefix", "key"):
+            x, y = a[c].fillna("").tolist(), b[c].fillna("").tolist()
+            for at in range(0, len(y), 1024):
+                open_ = similarity_bounds(x, y[at : at + 1024], autojunk) >= threshold
+                for j in np.flatnonzero(open_.any(axis=0)).tolist():
+                    matcher = Matcher(y[at + j], autojunk)
+                    for i in np.flatnonzero(open_[:, j]).tolist():
+                        best[i, at + j] = max(best[i, at + j], matcher.ratio(x[i]))
+        found = [[{"id": ids[j], "score": float(row[j])} for j in np.flatnonzero(row >= threshold).tolist()] for row in best]
+        return pd.DataFrame({"pair_id": a["pair_id"].tolist(), "section_id": a["section_id"].tolist(), "candidates": found})
+
+    return _dealt(old, new.select("pair_id", "section_id", "key", "prefix"), ["section_id", "key", "prefix"], score, "candidates array<struct<id:string,score:double>>")
 
-    def assign(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        by_number: dict[str, tuple] = {}
-        by_title: dict[str, tuple] = {}
-        free = set()
-        for r in b.sort_values("order_index").itertuples():
-            free.add(r.section_id)
-            if r.number:
-                by_number.setdefault(r.number, r)
-            by_title.setdefault(r.key, r)
-        out = []
-        for r in a.sort_values("order_index").itertuples():
-            hit, score, reason = by_number.get(r.number) if r.number else None, 0.0, ""
-            if hit is not None and hit.section_id in free:
-                score, reason = max(0.9, similarity(r.key, hit.key)), NUMBER
-            else:
-                hit = by_title.get(r.key)
-                score, reason = 0.86, TITLE
-            if hit is not None and hit.section_id in free:
-                free.discard(hit.section_id)
-                out.append((r.pair_id, r.section_id, hit.section_id, score, reason, 1, r.order_index))
-            else:
-                out.append((r.pair_id, r.section_id, None, 0.0, "", 1, r.order_index))
-        return pd.DataFrame(out, columns=["pair_id", *[f.split()[0] for f in FIELDS.split(", ")]])
 
-    return _keys(old).groupBy("pair_id").cogroup(_keys(new).groupBy("pair_id")).applyInPandas(assign, f"pair_id {_kind(old)}, {FIELDS}")
+def best_scores(old: DataFrame, new: DataFrame, autojunk: bool = True) -> DataFrame:
+    """(pair_id, section_id, best): each old section's highest score among new ones that were free at its turn.
+
+    ``new`` has ``until``: the order_index of the old section that took it, or null.
+    """
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        until, out = b["until"].fillna(np.inf).to_numpy(float), []
+        sides = [(a[c].fillna("").tolist(), b[c].fillna("").tolist()) for c in ("prefix", "key")]
+        bounds = [np.concatenate([similarity_bounds(x, y[at : at + 1024], autojunk) for at in range(0, len(y), 1024)], axis=1) if y else np.zeros((len(x), 0)) for x, y in sides]
+        matchers: list[dict[int, Matcher]] = [{}, {}]
+        for i, order in enumerate(a["order_index"].tolist()):
+            best = 0.0
+            for (x, y), bound, held in zip(sides, bounds, matchers, strict=True):
+                for j in np.argsort(-bound[i], kind="stable").tolist():
+                    if bound[i][j] <= best:
+                        break
+                    if until[j] > order:
+                        if j not in held:
+                            held[j] = Matcher(y[j], autojunk)
+                        best = max(best, held[j].ratio(x[i]))
+            out.append(best)
+        return pd.DataFrame({"pair_id": a["pair_id"].tolist(), "section_id": a["section_id"].tolist(), "best": out})
+
+    return _dealt(old, new.select("pair_id", "key", "prefix", "until"), ["section_id", "key", "prefix", "order_index"], score, "best double")
 
 
 def residual_matches(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD, autojunk: bool = True) -> DataFrame:
-    """Phase two over what is left on both sides (columns of ``_keys`` with prefix): number, title, then the most similar."""
+    """Phase two over what is left on both sides (columns of ``_keys`` with prefix): number, title, then the most similar.
+
+    The score of an old section without a partner is that of the best one that
+    was left at its turn. Where ``old`` has a column ``exact`` it is found for
+    those rows alone, and 0 for others.
+    """
+    if "exact" not in old.columns:
+        old = old.withColumn("exact", F.lit(True))
+    old, new = written(old, "left-old"), written(new, "left-new")
+    narrow = old.drop("prefix").join(_renewed(similarity_scores(old, new, threshold, autojunk)), ["pair_id", "section_id"], "left")
 
     def assign(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left = list(b.sort_values("order_index").itertuples())
-        out = []
+        b = b.sort_values("order_index")
+        ids, keys, free, out = b["section_id"].tolist(), b["key"].tolist(), np.ones(len(b), bool), []
+        place = {x: i for i, x in enumerate(ids)}
+        by_number: dict[str, list[int]] = {}
+        by_key: dict[str, list[int]] = {}
+        for i, (number, key) in enumerate(zip(b["number"], keys, strict=True)):
+            by_key.setdefault(key, []).append(i)
+            if number:
+                by_number.setdefault(number, []).append(i)
+
+        def first(places: list[int]) -> int | None:
+            while places and not free[places[0]]:
+                places.pop(0)
+            return places[0] if places else None
+
         for r in a.sort_values("order_index").itertuples():
-            hit = next((c for c in left if r.number and c.number == r.number), None)
+            score, reason, hit = 0.0, NUMBER, first(by_number.get(r.number, []))
             if hit is not None:
-                score, reason = max(0.9, similarity(r.key, hit.key, autojunk)), NUMBER
-            elif (hit := next((c for c in left if c.key == r.key), None)) is not None:
+                score = max(0.9, similarity(r.key, keys[hit], autojunk))
+            elif (hit := first(by_key.get(r.key, []))) is not None:
                 score, reason = 0.86, TITLE
-            else:
-                scores = [max(similarity(r.prefix, c.prefix, autojunk), similarity(r.key, c.key, autojunk)) for c in left]
-                score, reason = max(scores, default=0.0), SIMILAR
-                hit = left[scores.index(score)] if scores and score >= threshold else None
+            elif r.candidates is not None and (scored := [(-c["score"], place[c["id"]]) for c in r.candidates if free[place[c["id"]]]]):
+                (score, hit), reason = min(scored), SIMILAR
+                score = -score
             if hit is not None:
-                left.remove(hit)
-            out.append((r.pair_id, r.section_id, hit.section_id if hit is not None else None, score, reason if hit is not None else "", 2, r.order_index))
+                free[hit] = False
+            out.append((r.pair_id, r.section_id, ids[hit] if hit is not None else None, score, reason if hit is not None else "", 2, r.order_index))
         return pd.DataFrame(out, columns=["pair_id", *[f.split()[0] for f in FIELDS.split(", ")]])
 
-    # Few bytes but much work a row: a given number of partitions keeps adaptive execution from merging them.
-    parts = int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = [df.repartition(parts, "pair_id").groupBy("pair_id") for df in (old, new)]
-    return dealt[0].cogroup(dealt[1]).applyInPandas(assign, f"pair_id {_kind(old)}, {FIELDS}")
+    done = narrow.groupBy("pair_id").cogroup(_renewed(new.drop("prefix")).groupBy("pair_id")).applyInPandas(assign, f"pair_id {_kind(old)}, {FIELDS}")
+    done = written(done, "matches")
+    on = ["pair_id", "old_section_id"]
+    alone = done.where("new_section_id is null").select("pair_id", F.col("old_section_id").alias("section_id"))
+    taken = done.where("new_section_id is not null").select("pair_id", F.col("new_section_id").alias("section_id"), F.col("ord").alias("until"))
+    best = best_scores(old.where("exact").join(_renewed(alone), ["pair_id", "section_id"], "left_semi"), new.join(_renewed(taken), ["pair_id", "section_id"], "left"), autojunk)
+    return done.join(_renewed(best.withColumnRenamed("section_id", "old_section_id")), on, "left").select(*on, "new_section_id", F.coalesce("best", "score").alias("score"), "reason", "phase", "ord")
 
 
 def corpus_keys(sections: DataFrame) -> DataFrame:
@@ -118,10 +303,16 @@ def corpus_keys(sections: DataFrame) -> DataFrame:
     return sections.groupBy("pair_id").agg(joined.alias("corpus"))
 
 
-def _present(left_over: DataFrame, corpus: DataFrame) -> DataFrame:
-    key = T.canonical_key(F.col("title"))
-    found = (F.length(key) >= 8) & F.coalesce(F.col("corpus").contains(key), F.lit(False))
-    return left_over.join(corpus, "pair_id", "left").withColumn("present", found).drop("corpus")
+def titles_present(left_over: DataFrame, sections: DataFrame) -> DataFrame:
+    """``left_over`` (pair_id, title, ...) with ``present``: whether the title occurs in the other document's canonical text.
+
+    The distinct titles of a pair are tested once, beside the one row that holds the document's text.
+    """
+    rows = left_over.withColumn("title_key", T.canonical_key(F.col("title")))
+    asked = rows.where("length(title_key) >= 8").groupBy("pair_id").agg(F.collect_set("title_key").alias("keys"))
+    corpus = corpus_keys(sections.join(asked.select("pair_id"), "pair_id", "left_semi"))
+    found = asked.join(corpus, "pair_id").select("pair_id", F.explode(F.filter("keys", lambda k: F.col("corpus").contains(k))).alias("title_key"), F.lit(True).alias("present"))
+    return rows.join(_renewed(found), ["pair_id", "title_key"], "left").withColumn("present", F.coalesce("present", F.lit(False))).drop("title_key")
 
 
 def match_sections(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD, autojunk: bool = True) -> DataFrame:
@@ -136,7 +327,8 @@ def match_sections(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD,
     open_ids = first.where("new_section_id is null").select("pair_id", F.col("old_section_id").alias("section_id"))
     prefix = F.substring("normalized_text", 1, PREFIX).alias("prefix")
     cut = lambda df: df.withColumn("prefix", prefix)
-    rest_old = _keys(cut(old.join(open_ids, ["pair_id", "section_id"], "left_semi")), "prefix")
+    open_old = titles_present(cut(old.join(open_ids, ["pair_id", "section_id"], "left_semi")), new)
+    rest_old = written(_keys(open_old.withColumnRenamed("present", "exact"), "prefix", "exact"), "left-old")
     rest_new = _keys(cut(new.join(taken, ["pair_id", "section_id"], "left_anti")), "prefix")
     second = written(residual_matches(rest_old, rest_new, threshold, autojunk), "matches")
     pairs = matched.unionByName(second.where("new_section_id is not null"))
@@ -145,9 +337,7 @@ def match_sections(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD,
         "old_section_id", "new_section_id", "score", "reason", "phase", "ord",
     )
 
-    def left_over(ids: DataFrame, sections: DataFrame, other: DataFrame, is_old: bool) -> DataFrame:
-        rows = ids.join(sections.select("pair_id", "section_id", "title"), ["pair_id", "section_id"])
-        rows = _present(rows, corpus_keys(other))
+    def left_over(rows: DataFrame, is_old: bool) -> DataFrame:
         gone, where = ("removed", "new") if is_old else ("added", "old")
         status = F.when(F.col("present"), "needs_review").otherwise(gone)
         reason = F.when(F.col("present"), f"section title found in {where} document but could not be aligned").otherwise(
@@ -161,6 +351,7 @@ def match_sections(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD,
         )
 
     no_new = second.where("new_section_id is null").select("pair_id", F.col("old_section_id").alias("section_id"), "score", "ord")
+    no_new = no_new.join(_renewed(rest_old.select("pair_id", "section_id", F.col("exact").alias("present"))), ["pair_id", "section_id"])
     claimed = pairs.select("pair_id", F.col("new_section_id").alias("section_id"))
-    no_old = new.where("comparison_enabled").join(claimed, ["pair_id", "section_id"], "left_anti").select("pair_id", "section_id", F.lit(0.0).alias("score"), F.col("order_index").alias("ord"))
-    return done.unionByName(left_over(no_new, old, new, True)).unionByName(left_over(no_old, new, old, False))
+    no_old = new.where("comparison_enabled").join(claimed, ["pair_id", "section_id"], "left_anti").select("pair_id", "section_id", "title", F.lit(0.0).alias("score"), F.col("order_index").alias("ord"))
+    return done.unionByName(left_over(no_new, True)).unionByName(left_over(titles_present(no_old, old), False))

@@ -112,6 +112,40 @@ def test_similarity_is_that_of_the_standard_library():
     assert match.similarity("tide", "diet") == difflib.SequenceMatcher(None, "tide", "diet").ratio()
     long = "ab" * 300
     assert match.similarity(long, "x" + long) != match.similarity(long, "x" + long, autojunk=False)
+    rng = random.Random(2)
+    for _ in range(300):
+        alphabet = rng.choice(["ab", "abcdefghijklmnop .,", "éß\U0001d11eab"])
+        a = "".join(rng.choices(alphabet, k=rng.randrange(400)))
+        b = a[: rng.randrange(400)] + "".join(rng.choices(alphabet, k=rng.randrange(300)))
+        for autojunk in (True, False):
+            assert not (a and b) or match.similarity(a, b, autojunk) == difflib.SequenceMatcher(None, a, b, autojunk).ratio()
+
+
+def test_bounds_hold_and_residuals_equal_a_plain_fold(spark):
+    rng = random.Random(4)
+    words = ["alpha", "Beta,", "gamma", "delta.", "x", "ein", "Straße", "\U0001d11e9"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [text(n) for n in (0, 1, 3, 30, 60, 60, 90, 200)]
+    texts += [t[: len(t) // 2] + text(20) + t[len(t) // 2 :] for t in texts] + ["ab" * 300, "x" + "ab" * 300]
+    for autojunk in (True, False):
+        bounds = match.similarity_bounds(texts, texts, autojunk)
+        assert all(bounds[i, j] >= match.similarity(a, b, autojunk) - 1e-12 for i, a in enumerate(texts) for j, b in enumerate(texts))
+    rows = lambda: [("p", f"s{i}", rng.choice(["", "", "1", "2"]), rng.choice(["", f"key {rng.randrange(30)}"]), i, rng.choice(texts) + text(rng.randrange(9))) for i in range(40)]
+    old, new = rows(), rows()
+    frame = lambda x: spark.createDataFrame(x, "pair_id string, section_id string, number string, key string, order_index int, prefix string")
+    got = {r.old_section_id: (r.new_section_id, r.reason, round(r.score, 9)) for r in match.residual_matches(frame(old), frame(new)).collect()}
+    left, want = list(new), {}
+    for _, sid, number, key, _, prefix in old:  # one after the other, against all that is left
+        hit = next((c for c in left if number and c[2] == number), None)
+        score, reason = (max(0.9, match.similarity(key, hit[3])), match.NUMBER) if hit else (0.86, match.TITLE)
+        hit = hit or next((c for c in left if c[3] == key), None)
+        if hit is None:
+            score, reason = max((max(match.similarity(prefix, c[5]), match.similarity(key, c[3])) for c in left), default=0.0), match.SIMILAR
+            hit = next((c for c in left if max(match.similarity(prefix, c[5]), match.similarity(key, c[3])) == score), None) if score >= match.THRESHOLD else None
+        if hit:
+            left.remove(hit)
+        want[sid] = (hit[1] if hit else None, reason if hit else "", round(score, 9))
+    assert got == want
 
 
 def test_two_level_diff():
