@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("old", help="the old version")
     p.add_argument("new", help="the new version")
     p.add_argument("--output-dir", default="outputs/comparison", help="folder for JSON and HTML artifacts")
+    p.add_argument("--llm-provider", default="none", help="none, openai, or any other with --llm-base-url")
     p.add_argument("--llm-base-url", default="", help="chat-completions endpoint for summaries (none: fixed sentences)")
     p.add_argument("--llm-model", default="", help="model name for it")
     p.add_argument("--llm-key-variable", default="LLM_API_KEY", help="environment variable with its key")
@@ -27,9 +28,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    client = ChatClient(args.llm_base_url, os.environ.get(args.llm_key_variable, ""), args.llm_model) if args.llm_base_url else None
+    provider = "custom" if args.llm_base_url and args.llm_provider == "none" else args.llm_provider
+    client = ChatClient(args.llm_base_url, os.environ.get(args.llm_key_variable, ""), args.llm_model, provider=provider)
     spark = SparkSession.builder.appName("docdelta").getOrCreate()
-    engine = Engine(spark, client)
+    engine = Engine(spark, client if client.address else None)
 
     def say(message: str) -> None:
         print(message, file=sys.stderr, flush=True)
@@ -48,6 +50,8 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     counts, t = result.kpi_summary, result.timings
     print(f"{counts['total']} changes: {counts['added']} added, {counts['deleted']} deleted, {counts['changed']} changed")
+    if "extraction" in t:
+        print(f"Extraction {duration(t['extraction'])}")
     print(f"Structuring {duration(t['structuring'])}, comparing {duration(t['matching'] + t['diffing'])}, total {duration(t['total'])}")
     print(f"Artifacts: {args.output_dir}")
     return 0

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from docdelta.functions import text as T
 from docdelta.operators.layout import DOC
+from docdelta.sources.tables import written
 
 # Font differences in points, and heading patterns.
 BODY_MAX_DELTA = 1.5
@@ -145,6 +146,7 @@ def font_sections(blocks: DataFrame, body: DataFrame) -> DataFrame:
     pair = F.col("large") & stripped.rlike(NUMBER_ONLY) & F.coalesce(F.lead("large").over(order), F.lit(False))
     joined = F.concat(F.regexp_replace(stripped, r"\.+$", ""), F.lit(" "), T.strip(F.lead("text").over(order)))
     lines = lines.withColumn("pair", pair).withColumn("heading", F.when(F.col("large"), classify_heading(F.when(pair, joined).otherwise(stripped))))
+    lines = written(lines, "lines")  # read by headings, bodies and pages below, each of which would classify again
     # A line that a pair takes in can't begin a heading: of lines in a run of pairs, every other one does.
     lines = lines.withColumn("takes", F.col("pair") & F.col("heading").isNotNull())
     run = F.col("line") - F.max(F.when(~F.col("takes"), F.col("line"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -275,14 +277,17 @@ def whole_document(pages: DataFrame) -> DataFrame:
     )
 
 
-def build(entries: DataFrame, blocks: DataFrame, pages: DataFrame, body: DataFrame) -> DataFrame:
-    """Sections of every document by the first builder that applies: outline, font, numbered lines, whole."""
+def build(entries: DataFrame, blocks: DataFrame, pages: DataFrame, body: DataFrame, by_outline=None, by_font=None, by_pattern=None) -> DataFrame:
+    """Sections of every document by the first builder that applies: outline, font, numbered lines, whole.
+
+    Each of the three builders can be replaced by a function of the same form.
+    """
+    by_outline, by_font, by_pattern = by_outline or outline_sections, by_font or font_sections, by_pattern or pattern_sections
     from docdelta.operators.layout import outline_is_reliable
 
     reliable = outline_is_reliable(entries).where("outline_available").select(*DOC)
-    by_outline = outline_sections(entries.join(reliable, DOC, "left_semi"), blocks.join(reliable, DOC, "left_semi"), body)
-    rest = blocks.join(reliable, DOC, "left_anti")
-    by_font = font_sections(rest, body)
-    left = pages.join(reliable, DOC, "left_anti").join(by_font.select(*DOC).distinct(), DOC, "left_anti")
+    outlined = by_outline(entries.join(reliable, DOC, "left_semi"), blocks.join(reliable, DOC, "left_semi"), body)
+    set_larger = by_font(blocks.join(reliable, DOC, "left_anti"), body)
+    left = pages.join(reliable, DOC, "left_anti").join(set_larger.select(*DOC).distinct(), DOC, "left_anti")
     left = left.withColumn("normalized_text", F.coalesce(F.nullif("prose_text", F.lit("")), "normalized_text"))
-    return by_outline.unionByName(by_font).unionByName(pattern_sections(left))
+    return outlined.unionByName(set_larger).unionByName(by_pattern(left))

@@ -26,6 +26,8 @@ class ComparisonResult:
     revision_entries: DataFrame
     pages: DataFrame | None = None
     metadata: DataFrame | None = None
+    outline: DataFrame | None = None
+    log: DataFrame | None = None
     timings: dict[str, float] = field(default_factory=dict)
 
     @property
@@ -58,8 +60,10 @@ class Comparison:
     ) -> None:
         self.structure, self.matcher, self.differ, self.summarizer, self.client = structure, matcher, differ, summarizer, client
 
-    def compare(self, tables: dict[str, DataFrame], output: str | None = None, progress: Callable[[str], None] | None = None, debug: bool = False) -> ComparisonResult:
-        """Each stage is written to the shared folder as it ends, for the next one and whoever reads the result.
+    def compare(
+        self, tables: dict[str, DataFrame] | Callable[[], dict[str, DataFrame]], output: str | None = None, progress: Callable[[str], None] | None = None, debug: bool = False
+    ) -> ComparisonResult:
+        """``tables`` are those of ``sources.layout``, or what a function gives that extracts them. Each stage is written to the shared folder as it ends, for the next one and whoever reads the result.
 
         ``output`` names a folder for artifacts; ``progress`` is told of the stages.
         """
@@ -72,6 +76,11 @@ class Comparison:
             timings[name] = time.perf_counter() - start
             return df
 
+        if callable(tables):
+            say("Extracting documents...")
+            start = time.perf_counter()
+            tables = tables()
+            timings["extraction"] = time.perf_counter() - start
         structured: dict[str, DataFrame] = {}
 
         def structure() -> DataFrame:
@@ -84,7 +93,8 @@ class Comparison:
         edits = stage("diffing", "Comparing changed sections...", lambda: self.differ(matches, old, new))
         changes = stage("summarizing", "Summarizing changes...", lambda: self.summarizer(edits, self.client) if self.client else self.summarizer(edits))
         metadata = sources.document_metadata(tables["metadata"]) if "metadata" in tables else None
-        result = ComparisonResult(old, new, matches, changes, report.revision_entries(changes), structured.get("pages"), metadata, timings)
+        entries = layout.outline(tables["bookmarks"]) if "bookmarks" in tables else None
+        result = ComparisonResult(old, new, matches, changes, report.revision_entries(changes), structured.get("pages"), metadata, entries, tables.get("log"), timings)
         say("Writing report..." if output else "Finalizing...")
         start = time.perf_counter()
         if output:
@@ -109,4 +119,4 @@ class Engine:
 
     def compare_pdfs(self, pdf_v1: str, pdf_v2: str, output: str | None = None, progress=None, debug: bool = False) -> ComparisonResult:
         pairs = self.spark.createDataFrame([("pair", "v1", pdf_v1), ("pair", "v2", pdf_v2)], "pair_id string, side string, path string")
-        return self.compare(sources.read_pdfs(self.spark, pairs), output, progress, debug)
+        return self.comparison.compare(lambda: sources.read_pdfs(self.spark, pairs), output, progress, debug)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docdelta.sources.tables import written
+
+# Fixed value: pages of a pair from which on it counts as large.
+MANY_PAGES = 120
+
 LINES = (
     "pair_id string, side string, page_index int, block_no int, line_no int, block_type int, block_x0 double, block_y0 double, "
     "x0 double, y0 double, x1 double, y1 double, text string, size double, page_height double"
@@ -54,21 +61,44 @@ def preview(metadata: DataFrame) -> DataFrame:
     return rows.select("pair_id", "side", F.coalesce(F.nullif("title", F.lit("")), "file_name").alias("title"), "page_count")
 
 
+def page_totals(metadata: DataFrame, least: int = MANY_PAGES) -> DataFrame:
+    """(pair_id, pages_total, many_pages): pages of both documents of a pair, and whether they are worth spreading out."""
+    total = F.sum(F.coalesce("page_count", F.lit(0))).cast("long")
+    return metadata.groupBy("pair_id").agg(total.alias("pages_total"), (total >= least).alias("many_pages"))
+
+
+def _absolute(path: Column) -> Column:
+    """A path without scheme and host, from the root; relative ones start at the driver's folder."""
+    bare = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit(os.getcwd() + "/"), bare))
+
+
+def file_rows(spark: SparkSession, pairs: DataFrame) -> DataFrame:
+    """(pair_id, side, name, content): the file of each row of ``pairs``, found by its whole path."""
+    paths = [r["path"] for r in pairs.select("path").distinct().toLocalIterator()]
+    files = spark.read.format("binaryFile").load(paths).select(_absolute(F.col("path")).alias("place"), "content")
+    wanted = pairs.select("pair_id", "side", F.substring_index("path", "/", -1).alias("name"), _absolute(F.col("path")).alias("place"))
+    return wanted.join(files, "place").select("pair_id", "side", "name", "content")
+
+
 def read_pdfs(spark: SparkSession, pairs: DataFrame) -> dict[str, DataFrame]:
     """Layout of PDF files: ``pairs`` has pair_id, side and path. Needs the parser PyMuPDF on every executor.
 
-    Files are read by Spark as binary and parsed one a row, each table in a pass of its own.
+    Files are read by Spark as binary and parsed once, one a row; what was found
+    is written to the shared folder, and all tables are derived from it. A file
+    that can't be opened raises; what can't be read of a page is in the ``log``.
     """
     try:
         import fitz  # noqa: F401
     except ImportError as e:
         raise ExtractionError("reading PDF files needs PyMuPDF; give a layout dump instead") from e
+    from docdelta.sources import pdf
+
     bad = pairs.where(~F.lower("path").endswith(".pdf")).select("path").head()
     if bad is not None:
         raise ExtractionError(f"expected a .pdf file, got: {bad['path']}")
-    from docdelta.sources.pdf import parse
-
-    paths = [r["path"] for r in pairs.select("path").distinct().toLocalIterator()]
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    rows = pairs.withColumn("name", F.substring_index("path", "/", -1)).join(files.withColumn("name", F.substring_index("path", "/", -1)).drop("path"), "name")
-    return {name: rows.select("pair_id", "side", "name", "content").mapInPandas(parse(name), schema) for name, schema in TABLES.items()}
+    parsed = written(file_rows(spark, pairs).mapInPandas(pdf.parse, pdf.PARSED), "parsed")
+    broken = parsed.where("page_index < 0 AND page_count IS NULL").select("file_name", "failed").head()
+    if broken is not None:
+        raise ExtractionError(f"can't read {broken['file_name']}: {broken['failed'][0]}")
+    return pdf.tables_of(parsed)

@@ -1,79 +1,119 @@
-"""Tables of the layout schema from PDF bytes, by PyMuPDF (optional, imported on the executors)."""
+"""Raw rows of PDF files by PyMuPDF (optional, imported on the executors).
+
+A file is parsed once: a row for the document and a row for each page, with
+what the parser finds as arrays. Lines, clusters and regions are derived from
+them by the layout operators, like those of any other source. A part of a page
+that can't be read is left empty and named in ``failed``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docdelta.operators.layout import DOC, cluster_rects, reconstruct_lines
+
+BOX = "x0: double, y0: double, x1: double, y1: double"
+PARSED = (
+    "pair_id string, side string, file_name string, page_index int, page_width double, page_height double, page_count int, metadata map<string,string>, "
+    "bookmarks array<struct<level: int, title: string, page: int>>, "
+    f"chars array<struct<block_no: int, line_no: int, char_no: int, block_type: int, block_x0: double, block_y0: double, {BOX}, c: string, c_x0: double, c_x1: double, size: double>>, "
+    f"drawings array<struct<{BOX}>>, images array<struct<{BOX}>>, tables array<struct<{BOX}>>, words array<struct<{BOX}, word: string>>, failed array<string>"
+)
+NAMES = ["pair_id", "side", "file_name", "page_index", "page_width", "page_height", "page_count", "metadata", "bookmarks", "chars", "drawings", "images", "tables", "words", "failed"]
+
+
+def _box(rect) -> dict[str, float]:
+    return dict(zip(("x0", "y0", "x1", "y1"), map(float, rect), strict=True))
+
+
+def _chars(blocks: list[dict]) -> Iterator[dict]:
+    """Characters in reading order; a span without any is one entry without a left edge."""
+    for b, block in enumerate(blocks):
+        place = {"block_no": b, "block_type": int(block["type"]), "block_x0": float(block["bbox"][0]), "block_y0": float(block["bbox"][1])}
+        for n, line in enumerate(block.get("lines", ())):
+            entries = []
+            for span in line["spans"]:
+                size = float(span.get("size") or 0.0)
+                if span.get("chars"):
+                    entries += [(x["c"], float(x["bbox"][0]), float(x["bbox"][2]), size) for x in span["chars"]]
+                else:
+                    entries.append((span.get("text") or "", None, float(span["bbox"][2]), size))
+            for k, (c, left, right, size) in enumerate(entries):
+                yield {**place, "line_no": n, "char_no": k, **_box(line["bbox"]), "c": c, "c_x0": left, "c_x1": right, "size": size}
+
+
+def page_row(page, number: int) -> dict:
+    """What one page holds. Tables are looked for only beside drawings or images."""
+    failed: list[str] = []
+
+    def attempt(what: str, read):
+        try:
+            return read()
+        except Exception as e:  # parsers fail in many ways on broken pages
+            failed.append(f"page {number + 1}: {what}: {type(e).__name__}: {e}")
+            return []
+
+    blocks = attempt("text", lambda: page.get_text("rawdict")["blocks"])
+    drawings = attempt("drawings", lambda: [_box(d["rect"]) for d in page.get_drawings() if d.get("rect")])
+    images = [_box(b["bbox"]) for b in blocks if b["type"] == 1]
+    return {
+        "page_index": number, "page_width": float(page.rect.width), "page_height": float(page.rect.height), "chars": attempt("characters", lambda: list(_chars(blocks))),
+        "drawings": drawings, "images": images, "tables": attempt("tables", lambda: [_box(t.bbox) for t in page.find_tables().tables]) if drawings or images else [],
+        "words": attempt("words", lambda: [{**_box(w[:4]), "word": w[4]} for w in page.get_text("words")]), "failed": failed,
+    }
+
+
+def document_rows(doc) -> Iterator[dict]:
+    """The document's own row (page_index -1), then its pages, as dicts of the columns that they have."""
+    try:
+        marks = [{"level": int(level), "title": title, "page": int(page)} for level, title, page in doc.get_toc(simple=True)]
+    except Exception:  # no outline is like an empty one
+        marks = []
+    metadata = {str(k): str(v) for k, v in (doc.metadata or {}).items() if v}
+    yield {"page_index": -1, "page_count": int(doc.page_count), "metadata": metadata, "bookmarks": marks, "failed": []}
+    for number in range(doc.page_count):
+        try:
+            row = page_row(doc[number], number)
+        except Exception as e:
+            row = {"page_index": number, "page_width": 0.0, "page_height": 0.0, "failed": [f"page {number + 1}: {type(e).__name__}: {e}"]}
+        yield row
+
+
+def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas: rows of ``PARSED`` from (pair_id, side, name, content). A file that can't be opened gives one row without a page count."""
+    import fitz
+
+    for batch in batches:
+        for file in batch.itertuples():
+            key = {"pair_id": file.pair_id, "side": file.side, "file_name": file.name}
+            try:
+                with fitz.open(stream=file.content, filetype="pdf") as doc:
+                    for row in document_rows(doc):
+                        yield pd.DataFrame([{name: {**key, **row}.get(name) for name in NAMES}])
+            except Exception as e:
+                yield pd.DataFrame([{name: {**key, "page_index": -1, "failed": [f"{type(e).__name__}: {e}"]}.get(name) for name in NAMES}])
+
 
-from docdelta.operators.layout import CLUSTER_AREA, CLUSTER_GAP, GAP_RATIO
-
-
-def line_text(spans: list[dict]) -> str:
-    """A line's characters, with a space wherever a gap has none."""
-    out: list[str] = []
-    end = None
-    for span in spans:
-        if not span.get("chars"):
-            if span.get("text"):
-                out.append(span["text"])
-                end = span["bbox"][2]
-            continue
-        for char in span["chars"]:
-            c, size = char["c"], span.get("size") or 0.0
-            wide = end is not None and size and char["bbox"][0] - end > GAP_RATIO * size
-            if c and wide and not c.isspace() and not (out and out[-1].isspace()):
-                out.append(" ")
-            if c:
-                out.append(c)
-                end = char["bbox"][2]
-    return "".join(out)
-
-
-def clusters(rects: list[tuple]) -> list[tuple]:
-    found: list[list[float]] = []
-    for x0, y0, x1, y1 in (r for r in rects if r[0] < r[2] and r[1] < r[3]):
-        g = CLUSTER_GAP
-        for c in found:
-            if min(c[2], x1 + g) > max(c[0], x0 - g) and min(c[3], y1 + g) > max(c[1], y0 - g):
-                c[:] = [min(c[0], x0), min(c[1], y0), max(c[2], x1), max(c[3], y1)]
-                break
-        else:
-            found.append([x0, y0, x1, y1])
-    return [tuple(c) for c in found if (c[2] - c[0]) * (c[3] - c[1]) >= CLUSTER_AREA]
-
-
-def rows_of(doc, name: str, pair_id, side: str, file_name: str) -> list[tuple]:
-    key, out = (pair_id, side), []
-    if name == "metadata":
-        return [(*key, file_name, doc.page_count, {str(k): str(v) for k, v in (doc.metadata or {}).items() if v})]
-    if name == "bookmarks":
-        return [(*key, i, level, title, page) for i, (level, title, page) in enumerate(doc.get_toc(simple=True))]
-    for i, page in enumerate(doc):
-        if name == "pages":
-            out.append((*key, i, page.rect.width, page.rect.height))
-        elif name == "words":
-            out += [(*key, i + 1, n, *w[:4], w[4]) for n, w in enumerate(page.get_text("words"))]
-        elif name == "regions":
-            images = [b["bbox"] for b in page.get_text("rawdict")["blocks"] if b["type"] == 1]
-            drawings = [tuple(d["rect"]) for d in page.get_drawings() if d.get("rect")]
-            tables = [t.bbox for t in page.find_tables().tables] if images or drawings else []
-            out += [(*key, i, "table", *map(float, r)) for r in tables] + [(*key, i, "figure", *map(float, r)) for r in [*images, *clusters(drawings)]]
-        else:
-            for b, block in enumerate(page.get_text("rawdict")["blocks"]):
-                for n, line in enumerate(block.get("lines", [])):
-                    size = max((s.get("size", 0.0) for s in line["spans"]), default=0.0)
-                    out.append((*key, i, b, n, block["type"], *map(float, block["bbox"][:2]), *map(float, line["bbox"]), line_text(line["spans"]), size, page.rect.height))
-    return out
-
-
-def parse(name: str):
-    """A function for mapInPandas that gives one table of the documents in its rows."""
-
-    def work(batches):
-        import fitz
-
-        for batch in batches:
-            for row in batch.itertuples():
-                with fitz.open(stream=row.content, filetype="pdf") as doc:
-                    yield pd.DataFrame(rows_of(doc, name, row.pair_id, row.side, row.name))
-
-    return work
+def tables_of(parsed: DataFrame) -> dict[str, DataFrame]:
+    """The layout tables (see ``sources.layout``) and a log (pair_id, side, page_index, message) of parsed files."""
+    documents, pages = parsed.where("page_index < 0"), parsed.where("page_index >= 0")
+    per_page = [*DOC, "page_index"]
+    line = [*per_page, "block_no", "line_no"]
+    chars = pages.select(*per_page, "page_height", F.explode("chars").alias("x")).select(*per_page, "page_height", "x.*")
+    texts = reconstruct_lines(chars.select(*line, "char_no", "c", F.col("c_x0").alias("x0"), F.col("c_x1").alias("x1"), "size"), line)
+    shapes = chars.groupBy(*line).agg(*[F.first(c).alias(c) for c in ("block_type", "block_x0", "block_y0", "x0", "y0", "x1", "y1", "page_height")], F.max("size").alias("size"))
+    lines = shapes.join(texts, line, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    listed = lambda kind, boxes: pages.select(*per_page, F.lit(kind).alias("kind"), F.explode(boxes).alias("b")).select(*per_page, "kind", "b.*")
+    return {
+        "lines": lines.select(*line, "block_type", "block_x0", "block_y0", "x0", "y0", "x1", "y1", "text", "size", "page_height"),
+        "regions": listed("table", F.col("tables")).unionByName(listed("figure", F.concat("images", cluster_rects(F.col("drawings"))))),
+        "pages": pages.select(*per_page, "page_width", "page_height"),
+        "bookmarks": documents.select(*DOC, F.posexplode("bookmarks").alias("ord", "b")).select(*DOC, "ord", "b.level", "b.title", "b.page"),
+        "words": pages.select(*per_page, F.posexplode("words").alias("word_no", "w")).select(*DOC, (F.col("page_index") + 1).alias("page"), "word_no", "w.*"),
+        "metadata": documents.select(*DOC, "file_name", "page_count", F.col("metadata").alias("pdf_metadata")),
+        "log": parsed.select(*DOC, "page_index", F.explode("failed").alias("message")),
+    }

@@ -29,11 +29,11 @@ def test_added_deleted_changed(spark):
 
 def test_isolated_edits(spark):
     cases = [
-        ("The Cube7/H5/H7/H7RS provides a driver.", "The Cube7/H5/H7/H8RS provides a driver.", [("changed", "Cube7/H5/H7/H7RS", "Cube7/H5/H7/H8RS")]),
-        ("else it transmits NACK. After the data.", "else it transmits NACK and NASE especially. After the data.", [("added", "", "and NASE especially")]),
-        ("please refer to AN2606 for details", "please refer to AN2004 for details", [("changed", "AN2606", "AN2004")]),
-        ("If N = 0 first then. If N = 0 second then. If N = 0 third then.", "If N = 1 first then. If N = 1 second then. If N = 1 third then.", [("changed", "0", "1")] * 3),
-        ("Hello, world again", "hello world; again", []),
+        ("Use the KB70/A/B/C2 pump here.", "Use the KB70/A/B/C3 pump here.", [("changed", "KB70/A/B/C2", "KB70/A/B/C3")]),
+        ("the relay opens. Wait for water.", "the relay opens and then it rests. Wait for water.", [("added", "", "and then it rests")]),
+        ("see sheet KB7001 on that", "see sheet KB7002 on that", [("changed", "KB7001", "KB7002")]),
+        ("Flow of 4 at inlet. Flow of 4 at filter. Flow of 4 at outlet.", "Flow of 5 at inlet. Flow of 5 at filter. Flow of 5 at outlet.", [("changed", "4", "5")] * 3),
+        ("Shut, then open", "shut then; open", []),
     ]
     result = compare(spark, [f"1 Xx title\n{old}" for old, _, _ in cases], [f"1 Xx title\n{new}" for _, new, _ in cases])
     rows = result.changes.orderBy("pair_id", "edit").collect()
@@ -217,6 +217,8 @@ def test_pipeline_hooks_and_artifacts(spark, tmp_path):
     result = Engine(spark, client=lambda change: "" if change["change_type"] == "added" else "SAID").compare_texts(texts, str(tmp_path / "out"), said.append)
     assert result.changes.first().ai_summary == "SAID" and "Matching sections..." in said and result.timings["total"] > 0
     names = {p.name for p in (tmp_path / "out").iterdir()}
+    assert {p.name for p in (tmp_path / "out" / "v1").iterdir()} >= {"section_index", "normalized_document", "outline"}
+    assert spark.read.json(str(tmp_path / "out" / "v2" / "normalized_document")).first().sections[0].number == "1"
     assert {"section_matches", "diff_report", "revision_history_draft", "kpi_summary", "kpi_by_chapter", "comparison_report", "v1", "v2"} <= names
     assert "SAID" not in spark.read.text(str(tmp_path / "out" / "comparison_report"), wholetext=True).first()[0]
     from docdelta.sources.layout import from_texts
@@ -224,9 +226,39 @@ def test_pipeline_hooks_and_artifacts(spark, tmp_path):
     assert Comparison(matcher=lambda old, new: match.match_sections(old, new, 0.99)).compare(from_texts(texts)).changes.count() == 1
 
 
-def test_client_and_duration():
-    assert ChatClient("", "", "m")({}) == "" and ChatClient("http://127.0.0.1:9/x", "k", "m", 1)(dict.fromkeys(["change_type", "section_number", "section_title", "old_snippet", "new_snippet"], "")) == ""
-    assert duration(131) == "02:11 min" and duration(25) == "25.0 sec" and duration(-1) == "0.0 sec"
+def test_client_and_duration(monkeypatch):
+    import io
+    import json
+    import urllib.request
+
+    change = {"change_type": "changed", "section_number": "6", "section_title": "Pump", "old_snippet": "slow", "new_snippet": "fast", "edit": 1}
+    off = [ChatClient("", "", "m"), ChatClient("", "k", "m"), ChatClient("http://x", "k", "m", provider="None"), ChatClient("http://x", "", "m", provider="openai")]
+    assert not any(c.address or c(change) for c in off) and ChatClient("", "k", "m", provider="openai").address
+    assert ChatClient("http://127.0.0.1:9/x", "k", "m", 1)(change) == ""
+    sent, answers = [], []
+
+    def answer(request, timeout):
+        sent.append(json.loads(request.data))
+        return io.BytesIO(answers.pop(0)) if answers else (_ for _ in ()).throw(OSError("gone"))
+
+    monkeypatch.setattr(urllib.request, "urlopen", answer)
+    client = ChatClient("http://x", "k", "m")
+    answers[:] = [b'{"choices": [{"message": {"content": " The pump got faster. "}}]}']
+    assert client(change) == "The pump got faster." and "fast" in sent[0]["messages"][1]["content"] and sent[0]["model"] == "m"
+    for body in (b"", b"no json", b'{"choices": []}', b'{"choices": [{"message": {"content": null}}]}', b"[1]"):
+        answers[:] = [body]
+        assert client(change) == ""
+    sent.clear()
+    assert client(change) == "" and len(sent) == client.attempts
+    assert [duration(x) for x in (754, 59.94, 59.96, 7, -3, None, 119.8)] == ["12:34 min", "59.9 sec", "60.0 sec", "7.0 sec", "0.0 sec", "0.0 sec", "01:60 min"]
+
+
+def test_public_names():
+    import docdelta
+
+    assert docdelta.Engine is Engine and docdelta.ChatClient is ChatClient and set(docdelta.__all__) >= {"ComparisonResult", "ExtractionError"}
+    with __import__("pytest").raises(AttributeError):
+        docdelta.nothing
 
 
 def test_layout_to_changes(spark):
