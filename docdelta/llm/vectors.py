@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def summed(df: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], size: int, fan_in: int = 32) -> np.ndarray:
+def summed(df: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], size: int, fan_in: int = 8) -> np.ndarray:
     """The float64 vector that ``add`` accumulates over all batches of ``df``.
 
     Every partition yields one vector of ``size``; they are then summed by

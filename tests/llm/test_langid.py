@@ -60,3 +60,41 @@ def test_nothing_to_learn(spark):
     assert language_id(empty).count() == 0
     none = spark.createDataFrame([(1, "abc", None)], empty.schema)
     assert language_id(none).first().lang_pred == "und"
+
+
+def test_predictions_against_plain_loops(spark):
+    """Every window of every text through plain loops over bytes, filters and widths."""
+    import random
+
+    import numpy as np
+    from docdelta.llm import langid
+
+    rng = random.Random(5)
+    net = langid.ByteCNN(["aa", "bb", "cc"], filters=3, dim=2, seed=3)
+    texts = ["", None, "1 2 3", "x", "Straße €5 \U0001d11e"] + ["".join(rng.choices("abcdeäß .,1", k=n)) for n in (5, 255, 256, 257, 510, 1300)]
+
+    def posterior(window):
+        hidden = []
+        for w in net.widths:
+            for f in range(net.filters):
+                best = max(sum(float(net.p["emb"][window[i + j]] @ net.p[f"w{w}"][j * net.dim : (j + 1) * net.dim, f]) for j in range(w)) for i in range(len(window) - w + 1))
+                hidden.append(max(0.0, best + float(net.p[f"b{w}"][f])))
+        z = np.exp(np.array(hidden) @ net.p["out"] + net.p["bias"])
+        return z / z.sum()
+
+    want = {}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        if not any(c.isalpha() for c in t or ""):
+            want[i] = ("und", 0.0)
+            continue
+        total, weights = np.zeros(3), 0.0
+        for k in range(max(1, -(-max(0, len(data) - 4) // 252))):
+            part = data[252 * k : 252 * k + 256]
+            total += posterior([*part, *[256] * (256 - len(part))]) * len(part)
+            weights += len(part)
+        want[i] = (net.classes[int(total.argmax())], total.max() / weights)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(df, net).collect()}
+    assert {i: r.lang_pred for i, r in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(abs(got[i].score - w[1]) < 1e-4 for i, w in want.items())

@@ -120,3 +120,34 @@ def test_clashing_names_and_other_columns(spark):
     df = spark.createDataFrame([("a.b@c.org", 1, 2, 3, 4, "z"), ("plain", 5, 6, 7, 8, "y"), (None, None, None, None, None, None)], "text string, rid int, row int, found int, n_entities int, `a.b` string")
     rows = pii.pseudonymize(df, "k").collect()
     assert sorted((r.rid or 0, r.row, r.found, r["a.b"], r.n_entities) for r in rows if r.rid) == [(1, 2, 3, "z", 1), (5, 6, 7, "y", 0)] and len(rows) == 3
+
+
+def test_against_plain_search(spark):
+    """What a plain search finds, and nothing else, gives way: alike everywhere, and to different things for different ones."""
+    import random
+
+    import regex
+
+    rng = random.Random(12)
+    made = [
+        lambda: f"{rng.choice('abc')}.{rng.randrange(30)}@mail{rng.randrange(3)}.example.com", lambda: f"+1 ({rng.randrange(200, 210)}) 555-{rng.randrange(1000, 1020)}", lambda: f"10.0.{rng.randrange(3)}.{rng.randrange(20)}",
+        lambda: f'token = "{rng.randrange(1 << 160):040x}"', lambda: f"4785 3805 9239 {rng.randrange(1000, 1010)}", lambda: f"{rng.randrange(100, 120)}-45-6789",
+    ]
+    piece = lambda: rng.choice(["plain", "Words,", "7", "3.14", "(x)", "ü", "\n", ""]) if rng.random() < 0.8 else rng.choice(made)()
+    texts = ["\u241f".join(piece() for _ in range(rng.randrange(60))) for _ in range(150)]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    pattern, given = regex.compile(pii.PATTERN.replace(r"\k<gap>", "(?P=gap)")), {}
+    for i, text in enumerate(texts):
+        found, pieces, out = 0, text.split("\u241f"), got[i].text.split("\u241f")
+        assert len(pieces) == len(out)
+        for old, new in zip(pieces, out):
+            m = pattern.search(old)
+            if m is None:
+                assert new == old
+                continue
+            found += 1
+            head, tail = old[: m.start()], old[m.end() :]
+            assert new.startswith(head) and new.endswith(tail)
+            given.setdefault(m[0], set()).add(new[len(head) : len(new) - len(tail)])
+        assert got[i].n_entities == found
+    assert all(len(s) == 1 and s != {m} for m, s in given.items()) and len({min(s) for s in given.values()}) == len(given) > 100

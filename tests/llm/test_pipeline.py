@@ -72,3 +72,34 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     out = P.run(spark, folder)
     assert out.columns[:2] == ["doc_id", "start"] and out.count() > 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, p string, text_hash int, copies int, n_entities string, h int, rid int, `row` string"
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd", "no labels"])
+def test_edges_and_clashing_columns(spark, tmp_path, kind):
+    """Nulls in any column, repeated rows, empty and long texts, and columns named like the stages' own helpers."""
+    words = "the of and tion ing was one two three four".split()
+    text = lambda k: " ".join(words[(k * 7 + j * (k + 3)) % 10] + "abcdefgh"[(k + j) % 8] for j in range(30 + k))
+    rows = [] if kind == "empty" else [(k, text(k), "aa", "s", 3, "keep", 7, 8, "nine", 1, 2, "r") for k in range(40)]
+    if kind != "empty":
+        rows += [rows[5], rows[5], (None, text(50), "aa", None, None, None, None, None, None, None, None, None), (None,) * 12, (60, "", "aa", "", 0, "", 0, 0, "", 0, 0, "")]
+        rows += [(61, "word " * 60_000, None, "s", 300_000, "keep", 7, 8, "nine", 1, 2, "r"), (7, text(7) + " call +1 (743) 555-3824", "aa", "s", 1, "keep", 7, 8, "nine", 1, 2, "r")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = [] if kind != "odd" else [(k, k % 2, 0) for k in range(40)] + [(None, 1, 1), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "packing":
+            assert docs.count() >= len(kept)
+            continue
+        kept = docs.collect()
+        assert docs.columns == columns and (kept or kind == "empty" or name == "mixing")
+        assert all((r.p, r.text_hash, r.copies, r.n_entities, r.h, r.rid, r.row) == ("keep", 7, 8, "nine", 1, 2, "r") for r in kept if r.doc_id is not None and r.doc_id != 60)
+        if name == "near_duplicates" and kind != "empty":
+            ids = [r.doc_id for r in kept]
+            assert ids.count(5) == 1 and ids.count(7) == 1 and None in ids and 61 in ids
