@@ -28,7 +28,7 @@ WINDOW = 4096
 K1, B = 1.2, 0.75
 HEAD = 64
 DIM = 64
-SAMPLE = 1 << 16
+SAMPLE, PER_SHARD = 1 << 16, 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -72,6 +72,7 @@ class ShardIndex:
         order = np.argsort(term, kind="stable")
         self.doc, self.weight, self.at = doc[order].astype(np.int32), weight[order], term[order]
         self.starts = np.searchsorted(self.at, np.arange(len(idf) + 1))
+        self.terms = [t.astype(np.int64) for t in self.terms]
         held = np.diff(self.starts)
         self.wide = {}  # weights of frequent terms in all documents
         for t in np.flatnonzero(8 * held > len(docs)).tolist():
@@ -81,13 +82,16 @@ class ShardIndex:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents of the shard against the seed's terms."""
-        out = np.zeros(len(self.terms))
-        for t in self.terms[seed].tolist():
-            if t in self.wide:
-                out += self.wide[t]
-            else:
-                a, b = self.starts[t], self.starts[t + 1]
-                out[self.doc[a:b]] += self.weight[a:b]
+        terms = self.terms[seed]
+        spans = zip(terms.tolist(), self.starts[terms].tolist(), self.starts[terms + 1].tolist(), strict=True)
+        wide, rare = [], []
+        for t, a, b in spans:
+            rare.append(slice(a, b)) if t not in self.wide else wide.append(self.wide[t])
+        if not rare:
+            return np.sum(wide, axis=0)
+        out = np.bincount(np.concatenate([self.doc[s] for s in rare]), np.concatenate([self.weight[s] for s in rare]), len(self.terms))
+        for row in wide:
+            out += row
         return out
 
     def ranked(self, seed: int, used: np.ndarray) -> Iterator[int]:
@@ -168,7 +172,7 @@ def dealt_by_terms(tokens: DataFrame, docs: int, shards: int, idf, mean: float,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([v.tobytes() for v in vectors(b, p)], pa.binary())], ["n", "vector"])
 
-    share = min(1.0, SAMPLE / docs)
+    share = min(1.0, min(SAMPLE, PER_SHARD * shards) / docs)
     sample = tokens.where(F.pmod(F.xxhash64("ids", "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else tokens
     rows = sample.select("ids", "n").mapInArrow(sampled, "n long, vector binary").collect()
     rows = sorted((bytes(r.vector), r.n) for r in rows)  # the same tree whatever the order of rows
