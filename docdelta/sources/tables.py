@@ -56,14 +56,25 @@ def mark(spark: SparkSession) -> int:
     return len(_MADE.get(spark.sparkContext.applicationId, ()))
 
 
+def made_since(spark: SparkSession, since: int) -> list[str]:
+    """The folders made after ``since`` that are still there."""
+    return _MADE.get(spark.sparkContext.applicationId, [])[since:]
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that ``written`` or ``new_folder`` made; plans that read them end here."""
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in made:
+            made.remove(path)
+            _remove(spark.sparkContext._jvm, path)
+
+
 def drop_since(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
     """Remove the folders made after ``since``, but for that of ``keep``; plans that read them end here."""
     made = _MADE.get(spark.sparkContext.applicationId, [])
     kept = getattr(keep, "_written_to", None)
-    gone = [p for p in made[since:] if p != kept]
-    made[since:] = [p for p in made[since:] if p == kept]
-    for path in gone:
-        _remove(spark.sparkContext._jvm, path)
+    drop_paths(spark, [p for p in made[since:] if p != kept])
 
 
 def drop(df: DataFrame) -> None:
