@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docdelta.sources.tables import drop_since, mark
+
 from .common import fresh, materialize, shuffle_partitions, text_bytes
 from .components import components
 
@@ -236,11 +238,13 @@ def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     length. Empty table: empty result. All columns return, whatever their names.
     """
     (h,) = fresh(docs.columns, "text_hash")
+    since = mark(docs.sparkSession)
     keyed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
     known = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(h).alias("h"))
     ids = known.select("doc_id", "h").groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("n"))
     linked = simhash_components(known, distance, links=similar_links(known)).select(F.col("component_id").alias("doc_id")).distinct()
     chosen = materialize(linked.join(ids, "doc_id"), "chosen")
+    drop_since(docs.sparkSession, since, keep=chosen)
     kept = keyed.join(chosen.select("doc_id", F.col("h").alias(h)), ["doc_id", h], "left_semi")
     if not chosen.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", h])
