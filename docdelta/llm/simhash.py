@@ -10,7 +10,7 @@ the data, so no group is ever hot and no group is expanded into all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -29,6 +29,8 @@ SEED = 42
 BLOCK = 1 << 16
 BANDS, ROWS = 20, 5
 SMALL = 8
+HOT, DRAWN = 1 << 18, 1 << 10
+BINS, CELL = 256, 1024
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -138,24 +140,104 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """Links (u, v) between the fingerprints of texts whose ``width``-word shingles have Jaccard similarity ``similarity`` or more.
+def bins(shingles: np.ndarray) -> np.ndarray:
+    """How many of the hashes fall into each of ``BINS`` classes; sets share no more than the sum of the lesser counts."""
+    return np.bincount((shingles % np.uint64(BINS)).astype(np.int64), minlength=BINS).clip(max=65535).astype(np.uint16)
 
-    Candidates share a band of MinHashes (at 0.8 with probability 0.9996) and
-    are verified on all shingles. In a band of over ``SMALL`` texts each is tried
-    against the least and the ``SMALL`` before it, so no group is expanded into all pairs.
-    """
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), F.col("text").cast("binary").alias("text"))
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketched(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, tid, fp, keys) of every row of ``docs`` (doc_id, text): hash of the text, SimHash and band keys (null without words)."""
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), F.col("text").cast("binary").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t, width) for t in text_bytes(b.column(1))]
-            keys = pa.array([band_keys(x).view(np.int64) if len(x) else None for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), keys], ["tid", "keys"])
+            fps, keys = np.zeros(b.num_rows, np.uint64), []
+            for i, text in enumerate(text_bytes(b.column(2))):
+                fps[i] = fingerprint(text)
+                shingles = shingle_set(text, width)
+                keys.append(band_keys(shingles).view(np.int64) if len(shingles) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tid", "fp", "keys"])
 
-    sketches = texts.mapInArrow(sketch, "tid long, keys array<long>").where("keys is not null").groupBy("tid").agg(F.first("keys").alias("keys"))
-    sketches = materialize(sketches, "sketches")
-    parts = max(shuffle_partitions(docs.sparkSession), -(-sketches.count() * BANDS // 2_000_000))
+    return texts.mapInArrow(work, "doc_id long, tid long, fp long, keys array<long>")
+
+
+def cross_pairs(table: pa.Table, limit: int, similarity: float) -> pa.Table:
+    """Pairs (u, v) of one cell of a band that may be ``similarity`` similar, of texts with different roots.
+
+    Of two roots' pairs the ``limit`` with the highest bounds return; a last row
+    of nulls says that there were more.
+    """
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    own, tid, root, n = (table[c].to_numpy() for c in ("own", "tid", "root", "n"))
+    counts = np.frombuffer(b"".join(x.as_py() for x in table["bins"]), np.uint16).reshape(len(own), -1)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    found: list[tuple[np.ndarray, ...]] = []
+    for a in left.tolist():
+        b = right[(root[right] != root[a]) & (np.minimum(n[right], n[a]) >= similarity * np.maximum(n[right], n[a]))]
+        if i == j:
+            b = b[b > a]
+        if not len(b):
+            continue
+        most = np.minimum(counts[b], counts[a]).sum(axis=1, dtype=np.int64)
+        bound = most / np.maximum(1, n[b] + n[a] - most)
+        bound[(n[b] > 65535) | (n[a] > 65535)] = 1.0  # a count of theirs may be cut off
+        near = bound >= similarity
+        found.append((np.full(int(near.sum()), a), b[near], bound[near]))
+    if not found:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+    low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+    order = np.lexsort((-bound, high, low))
+    new = np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])][: len(order)]
+    starts = np.flatnonzero(new)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    kept = order[rank < limit]
+    more = [None] if len(kept) < len(order) else []
+    u, v = np.minimum(tid[a], tid[b])[kept], np.maximum(tid[a], tid[b])[kept]
+    return pa.table({"u": pa.array([*u.tolist(), *more], pa.int64()), "v": pa.array([*v.tolist(), *more], pa.int64())})
+
+
+def cells(members: DataFrame, block: int) -> DataFrame:
+    """Members of bands with texts of several roots, dealt so that any two of different roots meet in a cell (key, i, j).
+
+    ``members`` has key, tid, root and more. The texts of a band's most frequent
+    root need not meet each other: they are cut into blocks that meet only the
+    blocks of all other texts. No cell holds much over two blocks.
+    """
+    of_root = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    tops = of_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c")).where("top.c < c")
+    tops = tops.select("key", F.col("top.root").alias("top"), F.ceil(F.col("top.c") / block).alias("kt"), F.ceil((F.col("c") - F.col("top.c")) / block).alias("kr"))
+    at = members.join(tops, "key").withColumn("is_top", F.expr("root = top"))
+    at = at.withColumn("own", F.expr("if(is_top, kr + pmod(xxhash64(tid), kt), pmod(xxhash64(tid), kr))"))
+    meets = F.expr("if(is_top, sequence(0L, kr - 1), sequence(0L, kr + kt - 1))")
+    at = at.withColumn("other", F.explode(meets)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return at.drop("top", "kt", "kr", "is_top", "other")
+
+
+def similar_roots(docs: DataFrame, sketches: DataFrame, near: DataFrame, similarity: float = 0.8, width: int = 5, limit: int = 8) -> DataFrame:
+    """(node, root) of fingerprints: components of the links ``near`` and of texts whose ``width``-word shingles have Jaccard similarity ``similarity`` or more.
+
+    Candidates share a band of MinHashes (at 0.8 with probability 0.9996) and
+    are verified on all shingles. In a band of up to ``SMALL + 1`` texts all are
+    tried. In a larger one each is first tried against the least and the
+    ``SMALL`` before it; what is in one component by then needs no more trials.
+    All pairs of texts of different components that exact upper bounds (of
+    sizes, of counts by class of hash) leave are tried next, the likeliest
+    ``limit`` of two components first and more after each merging of
+    components, until none is left. So no pair that shares a band is missed.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), F.col("text").cast("binary").alias("text"))
+    held = sketches.where("keys is not null").groupBy("tid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    held = materialize(held, "sketches")
+    parts = max(shuffle_partitions(spark), -(-held.count() * BANDS // 2_000_000))
+    keys = held.select(F.explode("keys").alias("key"), "tid")
+    # Ids of texts are hashes: one in DRAWN of them finds the bands that one task should not hold, which are split.
+    drawn = keys.where(f"pmod(tid, {DRAWN}) = 0").groupBy("key").agg(F.count("*").alias("c")).where(f"c * {DRAWN} > {HOT}")
+    hot = materialize(drawn.select("key", F.expr(f"bigint(ceil(c * {DRAWN} / {HOT}))").alias("salts")), "hot")
+    dealt, any_hot = keys.withColumnRenamed("key", "band"), not hot.isEmpty()
+    if any_hot:
+        dealt = keys.join(hot, "key", "left").select(F.expr("if(salts is null, key, xxhash64(key, pmod(xxhash64(tid), salts)))").alias("band"), "tid")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -165,7 +247,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> D
         order = np.lexsort((tid, key))
         key, tid = key[order], tid[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        first = np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+        sizes = np.diff(np.r_[starts, len(key)])
+        first = np.repeat(starts, sizes)
         at = np.arange(len(key))
         u, v = [tid[at > first]], [tid[first[at > first]]]
         for k in range(1, SMALL + 1):
@@ -173,61 +256,92 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> D
             u.append(tid[m])
             v.append(tid[at[m] - k])
         found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
+        large = key[starts[sizes > SMALL + 1]]
+        names = ["u", "v", "band"]
         if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.nulls(len(found), pa.int64())], names)
+        if len(large):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.int64()), pa.array(large)], names)
 
-    keys = sketches.select(F.explode("keys").alias("key"), "tid").repartition(parts, "key")
-    candidates = materialize(keys.mapInArrow(pairs, "u long, v long").distinct(), "candidates")
-    wanted = candidates.select(F.col("u").alias("tid")).union(candidates.select(F.col("v").alias("tid"))).distinct()
+    candidates = materialize(dealt.repartition(parts, "band").mapInArrow(pairs, "u long, v long, band long").distinct(), "candidates")
+    tried = candidates.where("band is null").select("u", "v")
+    wanted = tried.select(F.col("u").alias("tid")).union(tried.select(F.col("v").alias("tid")))
+    if any_hot:
+        wanted = wanted.union(keys.join(hot, "key", "left_semi").select("tid"))
+    wanted = wanted.distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = list(text_bytes(b.column(1)))
-            fps = np.fromiter(map(fingerprint, held), np.uint64, len(held)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([shingle_set(t, width).tobytes() for t in held], pa.binary())], ["tid", "fp", "shingles"])
+            found = [shingle_set(t, width) for t in text_bytes(b.column(2))]
+            arrays = [pa.array([len(x) for x in found], pa.int64()), pa.array([bins(x).tobytes() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["tid", "fp", "n", "bins", "shingles"])
 
-    known = texts.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    known = materialize(known.mapInArrow(sets, "tid long, fp long, shingles binary"), "shingles")
+    known = texts.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")).join(held.select("tid", "fp"), "tid")
+    known = materialize(known.select("tid", "fp", "text").mapInArrow(sets, "tid long, fp long, n long, bins binary, shingles binary"), "shingles")
+    left = known.select(F.col("tid").alias("u"), F.col("fp").alias("fu"), F.col("shingles").alias("su"))
+    right = known.select(F.col("tid").alias("v"), F.col("fp").alias("fv"), F.col("shingles").alias("sv"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    left = known.select(F.col("tid").alias("u"), F.col("fp").alias("fu"), F.col("shingles").alias("su"))
-    right = known.select(F.col("tid").alias("v"), F.col("fp").alias("fv"), F.col("shingles").alias("sv"))
-    joined = candidates.join(left, "u").join(right, "v").where("fu <> fv").select("fu", "fv", "su", "sv")
-    return joined.mapInArrow(verify, "u long, v long").distinct()
+    def merged(links: DataFrame, tried: DataFrame) -> DataFrame:
+        joined = tried.join(left, "u").join(right, "v").where("fu <> fv").select("fu", "fv", "su", "sv")
+        return materialize(components(links.unionByName(joined.mapInArrow(verify, "u long, v long").distinct())), "roots")
+
+    def crossing(limit: int) -> Callable[[pa.Table], pa.Table]:
+        def found(table: pa.Table) -> pa.Table:
+            return cross_pairs(table, limit, similarity)
+
+        return found
+
+    roots = merged(near, tried)
+    large = candidates.where("band is not null").select(F.col("band").alias("key")).union(hot.select("key")).distinct()
+    members = materialize(keys.join(large, "key", "left_semi"), "members").join(known.select("tid", "fp", "n", "bins"), "tid")
+    seen, more = tried, True
+    while more:
+        rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        found = cells(rooted.select("key", "tid", "root", "n", "bins"), CELL).groupBy("key", "i", "j").applyInArrow(crossing(limit), "u long, v long").distinct()
+        found = materialize(found, "candidates")
+        more = not found.where("u is null").isEmpty()
+        untried = materialize(found.where("u is not null").join(seen, ["u", "v"], "left_anti"), "untried")
+        if not untried.isEmpty():
+            roots = merged(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")), untried)
+            seen = seen.unionByName(untried)
+        limit *= 8
+    return roots
+
+
+def _classes(fps: DataFrame) -> DataFrame:
+    return materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
 
 
-def simhash_components(docs: DataFrame, distance: int = 2, width: int = 3, links: DataFrame | None = None) -> DataFrame:
+def _grouped(fps: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_fp = rooted.join(least, "root").select("fp", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def simhash_components(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     Defined cases: null or empty text, or text of white space only: fingerprint
     zero, linked like any other. Repeated rows: one result row each. Null
     doc_id: kept, never a component_id unless nothing else is reachable (then
-    null). Empty table: empty result. Other columns are ignored. ``links``
-    are further links (u, v) between fingerprints.
+    null). Empty table: empty result. Other columns are ignored.
     """
     fps = materialize(fingerprints(docs, width=width), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    near = ball_links(classes.select("fp"), distance)
-    roots = components(near if links is None else near.unionByName(links))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    classes = _classes(fps)
+    return _grouped(fps, classes, components(ball_links(classes.select("fp"), distance)))
 
 
 def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     """The documents that remain when one of each near-duplicate group stays.
 
     Near duplicates have SimHashes at most ``distance`` bits apart, or five-word
-    shingles of Jaccard similarity 0.8 or more (``similar_links``), or are joined by others.
+    shingles of Jaccard similarity 0.8 or more (``similar_roots``), or are joined by others.
     The row of the least doc_id (and then the least hash of its text) stays;
     only (doc_id, hash) pairs are grouped.
 
@@ -242,7 +356,11 @@ def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     keyed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
     known = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(h).alias("h"))
     ids = known.select("doc_id", "h").groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    linked = simhash_components(known, distance, links=similar_links(known)).select(F.col("component_id").alias("doc_id")).distinct()
+    sketches = materialize(sketched(known), "sketched")
+    fps = sketches.select("doc_id", "fp")
+    classes = _classes(fps)
+    near = materialize(ball_links(classes.select("fp"), distance), "links")
+    linked = _grouped(fps, classes, similar_roots(known, sketches, near)).select(F.col("component_id").alias("doc_id")).distinct()
     chosen = materialize(linked.join(ids, "doc_id"), "chosen")
     drop_since(docs.sparkSession, since, keep=chosen)
     kept = keyed.join(chosen.select("doc_id", F.col("h").alias(h)), ["doc_id", h], "left_semi")

@@ -1,6 +1,8 @@
 import random
 
+import pytest
 import xxhash
+from docdelta.llm import simhash as S
 from docdelta.llm.simhash import ball_links, fingerprint, jaccard, keep_one, shingle_set, simhash_components
 
 
@@ -87,3 +89,46 @@ def test_keep_one_reaches_similarity(spark):
         assert (i + 1 in kept) == (s < 0.8 and far)
         wide += s >= 0.8 and far
     assert wide > 20
+
+
+@pytest.mark.parametrize(("small", "hot", "limit"), [(8, 1 << 18, 8), (1, 1 << 18, 1), (1, 30, 1)])
+def test_large_bands_lose_no_link(spark, monkeypatch, small, hot, limit):
+    """Hundreds of copies of one text, each with edits of its own: many are near only one or two others."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(160)]
+    texts = []
+    for i in range(260):
+        words = list(base)
+        for k in range(rng.choice([2, 2, 3, 5])):
+            words[rng.randrange(160)] = f"own{i}.{k}"
+        texts.append(words)
+        if i % 4 == 0:
+            other = list(words)
+            for k in range(4):
+                other[rng.randrange(160)] = f"other{i}.{k}"
+            texts.append(other)
+    texts = [" ".join(w) for w in texts]
+    sets = [shingle_set(t.encode()) for t in texts]
+    keys = [set(S.band_keys(x).tolist()) for x in sets]
+    fps = [fingerprint(t.encode()) for t in texts]
+    group = list(range(len(texts)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if keys[i] & keys[j] and jaccard(sets[i], sets[j]) >= 0.8 or (fps[i] ^ fps[j]).bit_count() <= 2]
+    for i, j in pairs:
+        a, b = sorted((root(i), root(j)))
+        group[b] = a
+    monkeypatch.setattr(S, "SMALL", small)
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "CELL", 16)
+    if hot < 100:
+        monkeypatch.setattr(S, "DRAWN", 1)
+    monkeypatch.setattr(S.similar_roots, "__defaults__", (0.8, 5, limit))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in keep_one(df).collect()}
+    assert kept == {i for i in range(len(texts)) if root(i) == i}
+    assert 5 < len(kept) < len(texts) - 60
