@@ -17,7 +17,9 @@ holds the anchor must be decided:
 An anchor with more than ``hot`` different regions is dealt by its regions'
 longer inner strings instead. Of such a region only the bytes on both sides of
 the inner string are sent; regions of one inner string are compared window by
-window in sorted order, so a group of any size takes neither an index nor pairs.
+window in sorted order, so such a group takes neither an index nor pairs. It is
+held by one task, so an anchor with more than ``huge`` different regions is not
+dealt at all: its windows are counted over the cluster by hashes of 128 bits.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ WINDOW, CORE = 400, 200
 BLOCK = 1 << 20
 CUTS = 4
 CHUNK = 1 << 20
-HOT = 4000
+HOT, HUGE = 4000, 100_000
 BUFFER = 50_000
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -379,7 +381,7 @@ def occurrences(rows: DataFrame, window: int, core: int) -> DataFrame:
     return rows.select("did", "tid", "text").mapInArrow(work, "key long, region long, did long, tid long, place int")
 
 
-def repeats(rows: DataFrame, window: int, core: int, hot: int, chunk: int) -> DataFrame:
+def repeats(rows: DataFrame, window: int, core: int, hot: int, chunk: int, huge: int = HUGE) -> DataFrame:
     """(did, tid, lo, hi): ranges of bytes of documents that repeats cover, as they are found."""
     extra = window - core
     every = occurrences(rows, window, core)
@@ -394,7 +396,7 @@ def repeats(rows: DataFrame, window: int, core: int, hot: int, chunk: int) -> Da
     open_ = regions.groupBy("key").agg(F.count("*").alias("different"), F.min("times").alias("least")).where("different > 1 AND least = 1").select("key", "different")
     open_ = materialize(open_, "keys")
     wanted = regions.join(open_, "key").groupBy("did", "tid").agg(
-        F.collect_list(F.struct("key", "place", (F.col("times") == 1).alias("decide"), (F.col("different") > hot).alias("hot"))).alias("wanted")
+        F.collect_list(F.struct("key", "place", (F.col("times") == 1).alias("decide"), (F.col("different") > hot).alias("hot"), (F.col("different") > huge).alias("huge"))).alias("wanted")
     )
     fetched = packed(rows).select("did", "tid", "text").join(wanted, ["did", "tid"])
     step = -(-extra // CUTS)
@@ -413,6 +415,8 @@ def repeats(rows: DataFrame, window: int, core: int, hot: int, chunk: int) -> Da
                     if (place, key) in seen:
                         continue
                     seen.add((place, key))
+                    if x["huge"]:
+                        continue
                     if not x["hot"]:
                         lo = max(0, place - extra)
                         out.append((key, did, tid, place, lo, place + window, -1, text[lo : place + window], x["decide"]))
@@ -467,10 +471,40 @@ def repeats(rows: DataFrame, window: int, core: int, hot: int, chunk: int) -> Da
         yield result(inner.decide(last=True))
 
     decided = dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(decide, "did long, tid long, lo int, hi int")
-    return ranges.unionByName(decided)
+    found = ranges.unionByName(decided)
+    if open_.where(F.col("different") > huge).isEmpty():
+        return found
+    some = fetched.select("did", "tid", "text", F.filter("wanted", lambda x: x["huge"])["place"].alias("places")).where("size(places) > 0")
+    return found.unionByName(counted_windows(some, window, core))
+
+
+def counted_windows(fetched: DataFrame, window: int, core: int) -> DataFrame:
+    """(did, tid, lo, hi) of the windows around ``places`` of packed texts that start at two places of them.
+
+    A window that several places cover counts once. No task holds a group: the
+    counts are combined before the shuffle, and the join back has one row a hash
+    on one side, so that adaptive execution can split the other.
+    """
+    extra = window - core
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_text = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for did, tid, data, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                text = open_text(data)
+                starts = sorted({s for p in places for s in range(max(0, p - extra), min(p, len(text) - window) + 1)})
+                for at in range(0, len(starts), 1 << 16):
+                    part = starts[at : at + (1 << 16)]
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[s : s + window]) for s in part), np.int64).reshape(-1, 2)
+                    columns = [digests[:, 0].copy(), digests[:, 1].copy(), np.full(len(part), did), np.full(len(part), tid), np.array(part, np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "g", "did", "tid", "lo"])
+
+    every = materialize(fetched.mapInArrow(hashes, "h long, g long, did long, tid long, lo int"), "windows")
+    twice = materialize(every.groupBy("h", "g").agg(F.count("*").alias("times")).where("times > 1").select("h", "g"), "keys")
+    return every.join(twice, ["h", "g"], "left_semi").select("did", "tid", "lo", (F.col("lo") + window).alias("hi"))
 
 
-def remove(docs: DataFrame, window: int = WINDOW, core: int = CORE, hot: int = HOT, chunk: int = CHUNK, with_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, window: int = WINDOW, core: int = CORE, hot: int = HOT, chunk: int = CHUNK, with_text: bool = False, huge: int = HUGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes that remain) of every row.
 
     Removed is each byte that a ``window``-byte string covers which also starts
@@ -480,7 +514,7 @@ def remove(docs: DataFrame, window: int = WINDOW, core: int = CORE, hot: int = H
     Empty table: empty result. Extra columns are ignored.
     """
     rows = keyed(docs)
-    found = repeats(rows, window, core, hot, chunk).groupBy("did", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    found = repeats(rows, window, core, hot, chunk, huge).groupBy("did", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = packed(rows.select("doc_id", "did", "tid", "text")).join(found, ["did", "tid"], "left").select("doc_id", "text", "ranges.lo", "ranges.hi")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 

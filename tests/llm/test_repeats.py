@@ -69,11 +69,11 @@ def test_every_window_holds_an_anchor_chosen_by_its_bytes(monkeypatch):
             assert len(own) == 1 and i + own[0] in places
 
 
-@pytest.mark.parametrize(("hot", "chunk"), [(10**6, 1 << 20), (2, 2000)])
-def test_against_brute_force(spark, hot, chunk):
+@pytest.mark.parametrize(("hot", "chunk", "huge"), [(10**6, 1 << 20, 10**6), (2, 2000, 10**6), (2, 2000, 3), (0, 2000, 0)])
+def test_against_brute_force(spark, hot, chunk, huge):
     texts = corpus(hot, 60)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, place string")
-    got = {r.doc_id: tuple(r)[1:] for r in R.remove(df, 48, 24, hot, chunk, with_text=True).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in R.remove(df, 48, 24, hot, chunk, with_text=True, huge=huge).collect()}
     want = brute([t.encode() for t in texts], 48)
     for i, w in enumerate(want):
         assert (*got[i][:4], bytes(got[i][4])) == w, i
@@ -100,13 +100,14 @@ def test_suffix_order_of_a_long_array():
     assert all(codes[a : a + 5000] < codes[b : b + 5000] for a, b in pairs)
 
 
-def test_passage_of_many_documents_with_distinct_continuations(spark):
+@pytest.mark.parametrize("huge", [R.HUGE, 5000])
+def test_passage_of_many_documents_with_distinct_continuations(spark, huge):
     rng = random.Random(3)
     passage = "".join(rng.choices("abcdefgh ", k=420))
     texts = [f"{i % 97}{passage}{i * 7919 % 20_011:05d}" + "".join(rng.choices("xyz", k=40)) for i in range(20_000)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     times = Counter(hash(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
-    got = {r.doc_id: r.n_removed for r in R.remove(df).collect()}
+    got = {r.doc_id: r.n_removed for r in R.remove(df, huge=huge).collect()}
     for d, t in enumerate(texts):
         twice = [i for i in range(len(t) - 399) if times[hash(t[i : i + 400])] > 1]
         assert got[d] == len({x for i in (twice[0], twice[-1]) for x in range(i, i + 400)}), d
