@@ -77,11 +77,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(source.decode())
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pieces = Cache(most)
         self.letters = byte_letters()
 
     def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        size, cut = self.dtype.itemsize, self.model.tokenize
+        packed, cut = self.packed, self.model.tokenize
         found = {}
         for p in pieces:
             if p == "\n":
@@ -89,7 +90,8 @@ class WordEncoder:
             elif p[0] == "\0":
                 found[p] = np.array(self.tokenizer.encode(p[1:], add_special_tokens=False).ids, self.dtype).tobytes()
             else:
-                found[p] = b"".join([t.id.to_bytes(size, "little") for t in cut(p.encode().decode("latin-1").translate(self.letters))])
+                # Bytes of ASCII pieces are their own letters.
+                found[p] = b"".join([packed[t.id] for t in cut(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters))])
         return found
 
     def _words(self, words: pa.Array) -> pa.Array:
