@@ -30,6 +30,18 @@ def ordered_text(order: Column, text: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), separator)
 
 
+def spaced_text(chars: Column) -> Column:
+    """Text of one line from its array of characters in order (c, x0, x1, size), with lost spaces put back (see ``reconstruct_lines``)."""
+    space = lambda c: c.rlike(f"^{WS}+$")
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.get(chars, i - 1)
+        gap = (x["size"] != 0) & (x["x0"] - before["x1"] > GAP_RATIO * x["size"]) & ~space(x["c"]) & ~space(before["c"])
+        return F.when(F.coalesce(gap, F.lit(False)), F.concat(F.lit(" "), x["c"])).otherwise(x["c"])
+
+    return F.array_join(F.transform(chars, piece), "")
+
+
 def reconstruct_lines(chars: DataFrame, line: list[str]) -> DataFrame:
     """Text of each line from its characters (c, x0, x1, size; order char_no), with lost spaces put back.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -284,11 +284,20 @@ def page_totals(spark, sf_dir):
 def _parsed(spark, sf_dir) -> DataFrame:
     """What a parser would give for the pages: characters of lines, drawings of some pages, tables of every fourth document."""
     lines = X.layout_lines(spark, sf_dir).where("text <> ''")
-    i = F.col("i")
-    names = ["block_no", "line_no", "char_no", "block_type", "block_x0", "block_y0", "x0", "y0", "x1", "y1", "c", "c_x0", "c_x1", "size"]
-    at = (i * 5 + F.when(i % 7 == 0, 3).otherwise(0)).cast("double")
-    chars = lines.select("*", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i")).withColumns({"char_no": i, "c": F.substring("text", i, F.lit(1)), "c_x0": at, "c_x1": (i * 5 + 5).cast("double")})
-    pages = chars.groupBy("pair_id", "side", "page_index").agg(F.collect_list(F.struct(*names)).alias("chars"), F.max("page_height").alias("page_height"))
+    names = ["block_no", "line_no", "block_type", "block_x0", "block_y0", "x0", "y0", "x1", "y1", "size", "text"]
+
+    def chars_of(line: Column) -> Column:
+        def char(c: Column, k: Column) -> Column:
+            i = k + 1
+            left, right = (i * 5 + F.when(i % 7 == 0, 3).otherwise(0)).cast("double"), (i * 5 + 5).cast("double")
+            kept = lambda *of: [line[n].alias(n) for n in of]
+            return F.struct(*kept("block_no", "line_no"), i.alias("char_no"), *kept("block_type", "block_x0", "block_y0", "x0", "y0", "x1", "y1"), c.alias("c"), left.alias("c_x0"), right.alias("c_x1"), *kept("size"))
+
+        return F.transform(F.regexp_extract_all(line["text"], F.lit("(?s)."), F.lit(0)), char)
+
+    # Lines meet by page as texts; only then do they become characters.
+    pages = lines.groupBy("pair_id", "side", "page_index").agg(F.collect_list(F.struct(*names)).alias("found"), F.max("page_height").alias("page_height"))
+    pages = pages.withColumn("chars", F.flatten(F.transform("found", chars_of))).drop("found")
     box = lambda x0, y0, x1, y1: F.struct(*[v.cast("double").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)])
     none, page, one = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"), F.col("page_index"), F.lit
     drawn = F.array(box(one(0), one(0), one(50), one(50)), box(one(55), one(0), one(100), page + 50), box(one(300), one(300), one(301), one(301)))

@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docdelta.operators.layout import DOC, cluster_rects, reconstruct_lines
+from docdelta.functions.text import let
+from docdelta.operators.layout import DOC, cluster_rects, spaced_text
 
 BOX = "x0: double, y0: double, x1: double, y1: double"
 PARSED = (
@@ -98,18 +99,35 @@ def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame([{name: {**key, "page_index": -1, "failed": [f"{type(e).__name__}: {e}"]}.get(name) for name in NAMES}])
 
 
+def lines_of(chars: Column) -> Column:
+    """Lines of a page, in order, from its characters: a character's place and box, its line's text and largest size."""
+    shape = ["block_no", "line_no", "block_type", "block_x0", "block_y0", "x0", "y0", "x1", "y1"]
+
+    def line(row: Column) -> Column:
+        texts = F.transform(F.filter(row, lambda x: x["c"] != ""), lambda x: F.struct(x["c"].alias("c"), x["c_x0"].alias("x0"), x["c_x1"].alias("x1"), x["size"].alias("size")))
+        return F.struct(*[row[0][n].alias(n) for n in shape], let(texts, spaced_text).alias("text"), F.array_max(F.transform(row, lambda x: x["size"])).alias("size"))
+
+    def cut(every: Column) -> Column:
+        begins = lambda i: (i == 0) | (F.get(every, i)["block_no"] != F.get(every, i - 1)["block_no"]) | (F.get(every, i)["line_no"] != F.get(every, i - 1)["line_no"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(every) - 1), begins)
+        return let(starts, lambda at: F.transform(at, lambda s, k: line_at(every, s, F.coalesce(F.get(at, k + 1), F.size(every)))))
+
+    def line_at(every: Column, start: Column, until: Column) -> Column:
+        return let(F.slice(every, start + 1, until - start), line)
+
+    # The first fields of a character are its block, line and number.
+    return F.when(F.size(chars) > 0, let(F.array_sort(chars), cut))
+
+
 def tables_of(parsed: DataFrame) -> dict[str, DataFrame]:
     """The layout tables (see ``sources.layout``) and a log (pair_id, side, page_index, message) of parsed files."""
     documents, pages = parsed.where("page_index < 0"), parsed.where("page_index >= 0")
     per_page = [*DOC, "page_index"]
-    line = [*per_page, "block_no", "line_no"]
-    chars = pages.select(*per_page, "page_height", F.explode("chars").alias("x")).select(*per_page, "page_height", "x.*")
-    texts = reconstruct_lines(chars.select(*line, "char_no", "c", F.col("c_x0").alias("x0"), F.col("c_x1").alias("x1"), "size"), line)
-    shapes = chars.groupBy(*line).agg(*[F.first(c).alias(c) for c in ("block_type", "block_x0", "block_y0", "x0", "y0", "x1", "y1", "page_height")], F.max("size").alias("size"))
-    lines = shapes.join(texts, line, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    # A page's lines are made in its row: rows of characters would be shuffled, many times the size of the text.
+    lines = pages.select(*per_page, "page_height", F.explode(lines_of(F.col("chars"))).alias("x")).select(*per_page, "page_height", "x.*")
     listed = lambda kind, boxes: pages.select(*per_page, F.lit(kind).alias("kind"), F.explode(boxes).alias("b")).select(*per_page, "kind", "b.*")
     return {
-        "lines": lines.select(*line, "block_type", "block_x0", "block_y0", "x0", "y0", "x1", "y1", "text", "size", "page_height"),
+        "lines": lines.select(*per_page, "block_no", "line_no", "block_type", "block_x0", "block_y0", "x0", "y0", "x1", "y1", "text", "size", "page_height"),
         "regions": listed("table", F.col("tables")).unionByName(listed("figure", F.concat("images", cluster_rects(F.col("drawings"))))),
         "pages": pages.select(*per_page, "page_width", "page_height"),
         "bookmarks": documents.select(*DOC, F.posexplode("bookmarks").alias("ord", "b")).select(*DOC, "ord", "b.level", "b.title", "b.page"),

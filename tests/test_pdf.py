@@ -109,3 +109,14 @@ def test_paths_meet_whatever_their_form(spark):
     got = {r[0] for r in spark.createDataFrame([(p,) for p in paths], "path string").select(_absolute(F.col("path"))).collect()}
     assert got == {"/a/b.pdf"}
     assert spark.createDataFrame([("b.pdf",)], "path string").select(_absolute(F.col("path"))).first()[0].endswith("/b.pdf")
+
+
+def test_lines_come_without_a_shuffle_of_characters(spark):
+    """A page's lines are made in its row, whatever the order of its characters; empty ones count for the line's size alone."""
+    at = lambda block, line, k, c, x0, x1, size: (block, line, k, 0, 0.0, 0.0, 0.0, 1.0, 2.0, 3.0, c, x0, x1, size)
+    chars = [at(1, 0, 0, "x", 0.0, 5.0, 9.0), at(0, 1, 1, "b", 8.0, 13.0, 10.0), at(0, 1, 0, "a", 0.0, 5.0, 10.0), at(0, 0, 0, "", None, 1.0, 7.0), at(0, 1, 2, "", 13.0, 13.0, 12.0), at(0, 1, 3, "𝒜", None, 30.0, 10.0)]
+    row = {"pair_id": "p", "side": "v1", "file_name": "f", "page_index": 0, "page_height": 800.0, "chars": chars}
+    lines = pdf.tables_of(spark.createDataFrame([{n: row.get(n) for n in pdf.NAMES}, {n: {**row, "page_index": 1, "chars": []}.get(n) for n in pdf.NAMES}], pdf.PARSED))["lines"]
+    got = sorted((r.page_index, r.block_no, r.line_no, r.text, r.size, r.y1) for r in lines.collect())
+    assert got == [(0, 0, 0, "", 7.0, 3.0), (0, 0, 1, "a b𝒜", 12.0, 3.0), (0, 1, 0, "x", 9.0, 3.0)]
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
