@@ -161,6 +161,27 @@ def sketched(docs: DataFrame, width: int = 5) -> DataFrame:
     return texts.mapInArrow(work, "doc_id long, tid long, fp long, keys array<long>")
 
 
+def first_pairs(key: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) to try at first, and the keys of bands with more than ``SMALL + 1`` texts.
+
+    All pairs of a smaller band; in a larger one each text with the least alone, so pairs grow with the members.
+    """
+    order = np.lexsort((tid, key))
+    key, tid = key[order], tid[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    first = np.repeat(starts, sizes)
+    at = np.arange(len(key))
+    few = np.repeat(sizes <= SMALL + 1, sizes)
+    u, v = [tid[at > first]], [tid[first[at > first]]]
+    for k in range(1, SMALL + 1):
+        m = few & (at - k > first)
+        u.append(tid[m])
+        v.append(tid[at[m] - k])
+    found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
+    return found, key[starts[sizes > SMALL + 1]]
+
+
 def cross_pairs(table: pa.Table, limit: int, similarity: float) -> pa.Table:
     """Pairs (u, v) of one cell of a band that may be ``similarity`` similar, of texts with different roots.
 
@@ -219,8 +240,8 @@ def similar_roots(docs: DataFrame, sketches: DataFrame, near: DataFrame, similar
 
     Candidates share a band of MinHashes (at 0.8 with probability 0.9996) and
     are verified on all shingles. In a band of up to ``SMALL + 1`` texts all are
-    tried. In a larger one each is first tried against the least and the
-    ``SMALL`` before it; what is in one component by then needs no more trials.
+    tried. In a larger one each is first tried against the least; what is in
+    one component by then needs no more trials.
     All pairs of texts of different components that exact upper bounds (of
     sizes, of counts by class of hash) leave are tried next, the likeliest
     ``limit`` of two components first and more after each merging of
@@ -244,19 +265,7 @@ def similar_roots(docs: DataFrame, sketches: DataFrame, near: DataFrame, similar
         if not kept:
             return
         key, tid = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
-        order = np.lexsort((tid, key))
-        key, tid = key[order], tid[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        first = np.repeat(starts, sizes)
-        at = np.arange(len(key))
-        u, v = [tid[at > first]], [tid[first[at > first]]]
-        for k in range(1, SMALL + 1):
-            m = at - k > first
-            u.append(tid[m])
-            v.append(tid[at[m] - k])
-        found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
-        large = key[starts[sizes > SMALL + 1]]
+        found, large = first_pairs(key, tid)
         names = ["u", "v", "band"]
         if len(found):
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.nulls(len(found), pa.int64())], names)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from docdelta.llm import simhash as S
@@ -91,6 +92,14 @@ def test_keep_one_reaches_similarity(spark):
     assert wide > 20
 
 
+def test_first_pairs_grow_with_the_members():
+    key, tid = np.r_[np.full(300, 7), np.full(9, 8), 9], np.arange(310)
+    found, large = S.first_pairs(key, tid)
+    assert large.tolist() == [7] and len(found) == 299 + 36
+    assert {(u, v) for u, v in found.tolist() if u < 300} == {(u, 0) for u in range(1, 300)}
+    assert {(u, v) for u, v in found.tolist() if u >= 300} == {(u, v) for u in range(300, 309) for v in range(300, u)}
+
+
 @pytest.mark.parametrize(("small", "hot", "limit"), [(8, 1 << 18, 8), (1, 1 << 18, 1), (1, 30, 1)])
 def test_large_bands_lose_no_link(spark, monkeypatch, small, hot, limit):
     """Hundreds of copies of one text, each with edits of its own: many are near only one or two others."""
