@@ -56,23 +56,39 @@ def token_table(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
+def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of each document in turn (ascending), how often each occurs there, and how many a document has."""
+    found = [_counted(b) for b in in_blocks(docs, 1 << 20)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(docs) == 1:
+        terms, tf = np.unique(docs[0], return_counts=True)
+        return terms.astype(np.int64), tf, np.array([len(terms)])
+    bits = 8 * docs[0].dtype.itemsize
+    kind = np.uint32 if bits == 16 and len(docs) <= 1 << 16 else np.uint64
+    keys = np.repeat(np.arange(len(docs), dtype=kind), [len(d) for d in docs]) << kind(bits) | np.concatenate(docs)
+    keys.sort()  # one sort for all documents
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    tf = np.diff(np.r_[at, len(keys)])
+    keys = keys[at]
+    return (keys & kind((1 << bits) - 1)).astype(np.int64), tf, np.bincount((keys >> kind(bits)).astype(np.int64), minlength=len(docs))
+
+
 class ShardIndex:
     """Inverted index of one shard; a document's terms are its distinct token ids."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         self.idf = idf
-        found = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t for t, _ in found]
-        sizes = np.array([len(t) for t in self.terms])
-        term = np.concatenate(self.terms)
-        tf = np.concatenate([c for _, c in found]).astype(np.float64)
+        term, tf, sizes = counted(docs)
+        self.terms = np.split(term, np.cumsum(sizes)[:-1])
         doc = np.repeat(np.arange(len(docs)), sizes)
         length = np.repeat([len(d) for d in docs], sizes)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight, self.at = doc[order].astype(np.int32), weight[order], term[order]
         self.starts = np.searchsorted(self.at, np.arange(len(idf) + 1))
-        self.terms = [t.astype(np.int64) for t in self.terms]
         held = np.diff(self.starts)
         self.wide = {}  # weights of frequent terms in all documents
         for t in np.flatnonzero(8 * held > len(docs)).tolist():
@@ -109,10 +125,14 @@ class ShardIndex:
 def term_vectors(docs: list[np.ndarray], idf: np.ndarray, mean: float, plane: np.ndarray) -> np.ndarray:
     """Unit vectors of documents: their BM25 term weights through a random projection."""
     out = np.zeros((len(docs), plane.shape[1]), np.float32)
-    for row, d in zip(out, docs, strict=True):
-        terms, tf = np.unique(d, return_counts=True)
-        weight = idf[terms] * tf / (tf + K1 * (1 - B + B * len(d) / mean))
-        row[:] = weight.astype(np.float32) @ plane[terms]
+    rows = iter(out)
+    for block in in_blocks(docs, 1 << 20):
+        terms, tf, sizes = counted(block)
+        length = np.repeat([len(d) for d in block], sizes)
+        weight = (idf[terms] * tf / (tf + K1 * (1 - B + B * length / mean))).astype(np.float32)
+        ends = np.cumsum(sizes)
+        for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            next(rows)[:] = weight[a:b] @ plane[terms[a:b]]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 

@@ -17,9 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END = 2
+SLICE = 1 << 15
 
 #: Characters that lower-case and cut alike in all Unicode versions and are in normal form; no numerals but digits.
 PLAIN = "!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f"
+UNUSUAL = re.compile(f"[^{PLAIN}\n]")
 #: Words with any other character, or with the brackets of special tokens, among words a line.
 ODD = re.compile(f"^.*(?:[^{PLAIN}\n]|<\\|).*$", re.MULTILINE)
 # Fixed value: the pattern by which this vocabulary cuts text into pieces, for plain words a line.
@@ -39,89 +41,78 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Cache:
-    """A dict that keeps between ``most`` and twice as many of the entries met last."""
-
-    def __init__(self, most: int) -> None:
-        self.most, self.new, self.old = most, {}, {}
-
-    def take(self, keys, make) -> dict:
-        """The entries of all ``keys``; ``make`` gives those of a list of unknown keys."""
-        found = {}
-        missing = []
-        new, old = self.new, self.old
-        for k in keys:
-            v = new.get(k)
-            if v is None:
-                v = old.get(k)
-                if v is None:
-                    missing.append(k)
-                    continue
-                new[k] = v
-            found[k] = v
-        if missing:
-            made = make(missing)
-            found.update(made)
-            new.update(made)
-        if len(new) > self.most:
-            self.old, self.new = new, {}
+class Cache(dict):
+    """A dict that makes unknown entries by itself; with ``old``, the one before it, whose entries it takes over as they are met."""
+
+    def __init__(self, make, old: dict | None = None) -> None:
+        self.make, self.old = make, old or {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
+    def next(self, most: int) -> Cache:
+        """This one, or an empty one before it if it holds over ``most`` entries."""
+        if len(self) <= most:
+            return self
+        self.old = {}
+        return Cache(self.make, self)
+
 
 class WordEncoder:
     """ids of texts as packed unsigned integers (two bytes each where the vocabulary allows)."""
 
-    def __init__(self, source: bytes, most: int = 200_000) -> None:
+    def __init__(self, source: bytes, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source.decode())
         self.model = self.tokenizer.model
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        self.mark = np.iinfo(self.dtype).max  # no id: the end of a word
         self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.pieces = Cache(most)
+        self.most, self.pieces = most, Cache(self._new_piece)
         self.letters = byte_letters()
 
-    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        packed, cut = self.packed, self.model.tokenize
-        found = {}
-        for p in pieces:
-            if p == "\n":
-                found[p] = b""
-            elif p[0] == "\0":
-                found[p] = np.array(self.tokenizer.encode(p[1:], add_special_tokens=False).ids, self.dtype).tobytes()
-            else:
-                # Bytes of ASCII pieces are their own letters.
-                found[p] = b"".join([packed[t.id] for t in cut(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters))])
-        return found
+    def _new_piece(self, p: str) -> bytes:
+        if p == "\n":
+            return self.mark.to_bytes(self.dtype.itemsize, "little")
+        if p[0] == "\0":
+            return np.array(self.tokenizer.encode(p[1:], add_special_tokens=False).ids, self.dtype).tobytes()
+        packed = self.packed
+        # Bytes of ASCII pieces are their own letters.
+        return b"".join([packed[t.id] for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters))])
 
     def _words(self, words: pa.Array) -> pa.Array:
         """Packed ids of distinct words, as an array of the same length."""
-        text = "\n".join(words.to_pylist())
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("\n", words.type))[0].as_py()
         lines = text.lower()
-        if odd := set(ODD.findall(text)):
+        if odd := set(ODD.findall(text)) if UNUSUAL.search(text) or "<|" in text else ():
             lines = lines.split("\n")
             for i, w in enumerate(text.split("\n")):
                 if w in odd:
                     lines[i] = "\0" + w
             lines = "\n".join(lines)
-        pieces = pc.dictionary_encode(pa.array(PIECE.findall(lines + "\n"), pa.large_string()))
-        distinct = pieces.dictionary.to_pylist()
-        ids = self.pieces.take(distinct, self._new_pieces)
-        gathered = pa.array([ids[p] for p in distinct], pa.large_binary()).take(pieces.indices)
-        ends = np.flatnonzero(pieces.indices.to_numpy() == distinct.index("\n"))
-        at = np.r_[0, np.frombuffer(gathered.buffers()[1], np.int64, len(gathered) + 1, 8 * gathered.offset)[ends]]
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at.astype(np.int64).tobytes()), gathered.buffers()[2]])
+        ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, PIECE.findall(lines + "\n"))), self.dtype)
+        self.pieces = self.pieces.next(self.most)
+        inner = ids != self.mark
+        ends = np.flatnonzero(~inner)
+        at = np.r_[0, (ends - np.arange(len(ends))) * self.dtype.itemsize].astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(ids[inner].tobytes())])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each UTF-8 text.
 
-        Arrow splits and numbers the words and gathers their ids; Python sees each distinct piece once.
+        Arrow splits and numbers the words and gathers their ids; Python sees the pieces of each distinct word once.
         """
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
         coded = pc.dictionary_encode(split.flatten())
         if not len(coded):
             return [b""] * len(texts)
-        gathered = self._words(coded.dictionary).take(coded.indices)
+        words = coded.dictionary
+        gathered = pa.concat_arrays([self._words(words.slice(i, SLICE)) for i in range(0, len(words), SLICE)]).take(coded.indices)
         packed = memoryview(gathered.buffers()[2])
         at = np.frombuffer(gathered.buffers()[1], np.int64, len(gathered) + 1, 8 * gathered.offset)[split.offsets.to_numpy()]
         return [bytes(packed[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
-from docdelta.llm.packing import ShardIndex, fill, pack, pack_shard
-from docdelta.llm.tokens import END, default_path, encoder
+from docdelta.llm.packing import ShardIndex, counted, fill, pack, pack_shard, term_vectors
+from docdelta.llm.tokens import END, WordEncoder, default_path, encoder, source_of
 
 
 def test_encoder_equals_whole_text_tokenization():
@@ -17,6 +18,42 @@ def test_encoder_equals_whole_text_tokenization():
         assert np.frombuffer(x, e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_holds_no_object_of_every_word_and_makes_pieces_once():
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abcdefgh", k=12)) + rng.choice([".", ",", ""]) for _ in range(100_000)})
+    e = WordEncoder(source_of(default_path()), most=1000)
+    text = " ".join(words).encode()
+    tracemalloc.start()
+    got = e.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.frombuffer(got[0], e.dtype).tolist() == e.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert peak < 30e6
+    assert len(e.pieces) + len(e.pieces.old) <= 2 * (1 << 15) + 2000  # two slices of words
+
+    e, made = WordEncoder(source_of(default_path())), []
+    e.pieces.make = lambda p, make=e.pieces.make: made.append(p) or make(p)
+    for _ in range(3):
+        e.encode([b"One two, ONE", b"three one. two", b""])
+    assert sorted(made) == sorted({"\n", "one", "two", "three", ",", "."})
+
+
+def test_counts_of_all_documents_are_those_of_each():
+    rng = np.random.default_rng(5)
+    for kind in ("<u2", "<u4"):
+        docs = [rng.integers(0, 30, rng.integers(1, 50)).astype(kind) for _ in range(300)]
+        docs += [np.full(3, 65535, kind), np.zeros(0, kind), np.full(1 << 20, 7, kind), np.array([9, 8, 9], kind)]
+        want = [np.unique(d, return_counts=True) for d in docs]
+        terms, tf, sizes = counted(docs)
+        assert sizes.tolist() == [len(t) for t, _ in want]
+        assert terms.tolist() == [x for t, _ in want for x in t.tolist()] and tf.tolist() == [x for _, c in want for x in c.tolist()]
+        idf, plane = rng.random(65536) + 0.1, rng.standard_normal((65536, 4), np.float32)
+        got = term_vectors(docs, idf, 20.0, plane)
+        for d, (t, c), v in zip(docs, want, got, strict=True):
+            row = (idf[t] * c / (c + 1.2 * (0.25 + 0.75 * len(d) / 20.0))).astype(np.float32) @ plane[t]
+            assert np.allclose(v, row / max(np.linalg.norm(row), 1e-9), atol=1e-5)
+
+
 def check(rows, want, window):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
