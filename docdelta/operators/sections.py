@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 from pyspark.sql.window import Window
 
 from docdelta.functions import text as T
@@ -199,34 +200,42 @@ def numbered_headings(pages: DataFrame) -> DataFrame:
     return rows.where(valid).select(*DOC, "page_index", "line", "number", "title")
 
 
+def continued(numbers: list[str]) -> list[bool]:
+    """Which of a document's heading numbers, in order, continue the numbering before them."""
+    tops = [int(x.split(".")[0]) for x in numbers]
+    nested = ["." in x for x in numbers]
+    now, keep = 0, []
+    for i, top in enumerate(tops):
+        if nested[i]:
+            keep.append(top <= now)
+            continue
+        good = now == 0 or top == now + 1
+        if not good and top > now + 1:
+            ahead = ((nested[j], tops[j]) for j in range(i + 1, len(tops)))
+            back = next((dotted for dotted, t in ahead if (dotted and t == now) or (not dotted and t >= top)), False)
+            good = not back
+        keep.append(good)
+        now = top if good else now
+    return keep
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _continued(numbers: pd.Series) -> pd.Series:
+    return pd.Series([continued(list(x)) for x in numbers], dtype=object)
+
+
 def hierarchy_filter(candidates: DataFrame) -> DataFrame:
-    """Candidates that continue the numbering, in document order (a fold with look-ahead over each document)."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["page_index", "line"])
-        numbers = rows["number"].tolist()
-        tops = [int(x.split(".")[0]) for x in numbers]
-        nested = ["." in x for x in numbers]
-        now, keep = 0, []
-        for i, top in enumerate(tops):
-            if nested[i]:
-                keep.append(top <= now)
-                continue
-            good = now == 0 or top == now + 1
-            if not good and top > now + 1:
-                ahead = ((nested[j], tops[j]) for j in range(i + 1, len(tops)))
-                back = next((dotted for dotted, t in ahead if (dotted and t == now) or (not dotted and t >= top)), False)
-                good = not back
-            keep.append(good)
-            now = top if good else now
-        return rows[keep]
-
-    return candidates.groupBy(*DOC).applyInPandas(fold, candidates.schema)
+    """Candidates that continue the numbering, in document order (a fold with look-ahead over each document's numbers, many documents a batch)."""
+    rows = candidates.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("page_index", "line", "number", "title"))).alias("found"))
+    rows = rows.withColumn("keep", _continued(F.transform("found", lambda x: x["number"])))
+    kept = F.filter(F.transform("found", lambda x, i: F.struct(x.alias("x"), F.get(F.col("keep"), i).alias("keep"))), lambda y: y["keep"])
+    return rows.select(*DOC, F.explode(kept).alias("y")).select(*DOC, "y.x.*")
 
 
 def pattern_sections(pages: DataFrame) -> DataFrame:
     """Sections from numbered lines; a document without any is one section."""
-    heads = hierarchy_filter(numbered_headings(pages))
+    pages = written(pages.select(*DOC, "page_index", "normalized_text"), "pages")  # read by headings, bodies and the documents without any
+    heads = written(hierarchy_filter(numbered_headings(pages)), "headings")  # read by titles, bodies and the documents without any
     order = Window.partitionBy(*DOC).orderBy("page_index", "line")
     heads = heads.withColumn("order_index", F.row_number().over(order) - 1).withColumn("next_page", F.lead("page_index").over(order))
     marks = heads.select(*DOC, "page_index", "line", "order_index")

@@ -98,3 +98,15 @@ def test_echo_keys(spark):
     df = spark.createDataFrame([("p", "v1", "", "Appendix A ECC sequences"), ("p", "v1", "2.2", "RAM ECC"), ("p", "v1", "", "FAR")], f"{KEY}, number string, title string")
     keys = {r.key for r in sections.echo_keys(df).collect()}
     assert {"eccsequences", "appendixaeccsequences", "ramecc", "22ramecc"} == keys
+
+
+def test_numbering_of_many_documents_is_folded_in_batches(spark):
+    rows = [(d, "v1", 0, i, n, "Part") for d in range(300) for i, n in enumerate(["1", "1.1", "3", "1.2", "2", "4", "0.5"])]
+    candidates = spark.createDataFrame(rows, "pair_id long, side string, page_index int, line int, number string, title string")
+    kept = sections.hierarchy_filter(candidates.repartition(2))
+    # One Python call a group of rows costs more than the fold itself: no group crosses to Python alone.
+    assert "FlatMapGroups" not in kept._jdf.queryExecution().toString()
+    got = {}
+    for r in kept.orderBy("line").collect():
+        got.setdefault(r.pair_id, []).append(r.number)
+    assert len(got) == 300 and all(x == ["1", "1.1", "1.2", "2", "4", "0.5"] for x in got.values()) and kept.columns == candidates.columns
