@@ -670,7 +670,7 @@ def similarity_residual(spark, sf_dir):
     order = F.row_number().over(Window.partitionBy("pair_id").orderBy("doc_id"))
     rows = X.documents(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("pair_id"), "doc_id", "text").withColumn("n", order)
     key, blank = F.col("doc_id").cast("string"), F.lit("")
-    rows = rows.select("pair_id", F.concat(F.lit("s"), key).alias("section_id"), blank.alias("number"), key.alias("key"), F.col("n").alias("order_index"), F.substring("text", 1, match.PREFIX).alias("prefix"), F.lit(False).alias("exact"))
+    rows = rows.select("pair_id", F.concat(F.lit("s"), key).alias("section_id"), blank.alias("number"), key.alias("key"), F.col("n").alias("order_index"), F.col("text").alias("prefix"), F.lit(False).alias("exact"))
     old, new = rows.where("order_index % 2 = 1"), match._renewed(rows.where("order_index % 2 = 0").drop("exact"))
     found = match.residual_matches(old, new).where("new_section_id is not null")
     return found.select("pair_id", "old_section_id", "new_section_id", F.round("score", 6).alias("score"), "reason")

@@ -362,3 +362,20 @@ def test_titles_are_found_in_pieces_of_a_text(spark):
     titles = spark.createDataFrame([("p", "s1", "Cross, over line"), ("p", "s2", "Absent title"), ("p", "s3", "Cross"), ("q", "s4", "Cross, over line")], "pair_id string, section_id string, title string")
     body = spark.createDataFrame([("p", 2, "", "OVER line"), ("p", 1, "1 A", "it cross"), ("q", 1, "", "overline"), ("q", 2, None, "cross")], "pair_id string, order_index int, full_title string, normalized_text string")
     assert {(r.section_id, r.present) for r in match.titles_present(titles, body).collect()} == {("s1", True), ("s2", False), ("s3", False), ("s4", False)}
+
+
+def test_indexed_similarity_finds_all_pairs():
+    rng, base = random.Random(5), [" ".join(random.Random(k).choices([f"{c}word{n}" for c in "abcdefgh" for n in range(40)], k=60 + 20 * k)) for k in range(12)]
+    old = [*base, "", "12345", "a short title", *[t[: len(t) // 2] for t in base]]
+    edited = lambda t, p: " ".join(w for w in t.split(" ") if rng.random() > p)
+    new = [*[edited(t, p) for t in base for p in (0.02, 0.15, 0.3)], "", "12354", "a short tale", *base[:4]]
+    got = {(i, j): score for i, j, score in match.similar(old, new)}
+    want = {(i, j): difflib.SequenceMatcher(None, a, b).ratio() for i, a in enumerate(old) for j, b in enumerate(new) if a or b}
+    assert got == {k: r for k, r in want.items() if r >= match.THRESHOLD} | {(old.index(""), new.index("")): 1.0} and len(got) > 30
+
+
+def test_texts_meet_only_where_their_lengths_leave_room(spark):
+    text = lambda k, n: "".join(random.Random(k).choices("abcdefghij klmnop", k=n))
+    rows = lambda side: spark.createDataFrame([("p", f"{side}{k}", str(10**6 * k), text(k, n), k) for k, n in enumerate([50, 1000, 20000] * 3)], "pair_id string, section_id string, key string, prefix string, order_index int")
+    met = match._similar_in("prefix", rows("o"), rows("n"), match.THRESHOLD, True)
+    assert {(r.section_id, c.id, c.score) for r in met.collect() for c in r.candidates} == {(f"o{k}", f"n{k}", 1.0) for k in range(9)}
